@@ -1,0 +1,27 @@
+"""Lookups that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 32
+
+
+def salted_lookup(
+    rows: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    spread_by: list[str],
+    how: str = "inner",
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join ``rows`` with the few ``table`` rows of their key.
+
+    Rows of one key are spread over ``salts`` salted keys by a hash of
+    ``spread_by``; the table is copied only to the salted keys that occur, so
+    neither a hot key nor a large table is multiplied without need.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+    needed = salted.select(*keys, "_salt").distinct()
+    return salted.join(needed.join(table, keys), [*keys, "_salt"], how).drop("_salt")
