@@ -28,8 +28,7 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
 def _number_text(text: Column) -> Column:
     """Parse a number literal; anything else (``12d``, hex, words) is null."""
     literal = F.regexp_extract(text, _NUMBER_TEXT, 1)
-    plain = F.translate(literal, "_", "")
-    return F.when(literal != "", plain.try_cast("double"))
+    return F.translate(literal, "_", "").try_cast("double")
 
 
 def _finite_or(value: Column, default: Column) -> Column:
@@ -55,18 +54,12 @@ def safe_double(df: DataFrame, name: str, default: float = 0.0) -> Column:
     return _finite_or(F.col(name).cast("double"), fallback)
 
 
-def _truncate(value: Column) -> Column:
-    """Whole part of a finite double; infinite and NaN become 0."""
-    whole = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value))
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(2.0**63))
-    return F.when(finite, whole.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+def _whole_or_zero(*values: Column) -> Column:
+    """Whole part of the first value that has one; NaN and infinity have none.
 
-
-def _first_digit_run(text: Column) -> Column:
-    digits = F.regexp_extract(text, r"[0-9]+", 0)
-    return F.coalesce(
-        F.when(digits != "", digits.try_cast("bigint")), F.lit(0).cast("bigint")
-    )
+    Every value is referred to once, so that it is also computed once.
+    """
+    return F.coalesce(*[v.try_cast("bigint") for v in values], F.lit(0).cast("bigint"))
 
 
 def units_sold(df: DataFrame, name: str, value_key: str = "value") -> Column:
@@ -81,17 +74,14 @@ def units_sold(df: DataFrame, name: str, value_key: str = "value") -> Column:
     if isinstance(dtype, T.StructType):
         if value_key not in dtype.fieldNames():
             return zero
-        return _truncate(source[value_key].try_cast("double"))
+        return _whole_or_zero(source[value_key].try_cast("double"))
     if isinstance(dtype, T.StringType):
         inner = F.get_json_object(source, f"$.{value_key}")
-        number = _number_text(source)
-        return (
-            F.when(source.isNull(), zero)
-            .when(F.ltrim(source).startswith("{"), _truncate(_number_text(inner)))
-            .when(number.isNotNull(), _truncate(F.greatest(number, F.lit(0.0))))
-            .otherwise(_first_digit_run(source))
-        )
-    return _truncate(F.greatest(source.cast("double"), F.lit(0.0)))
+        digits = F.regexp_extract(source, r"[0-9]+", 0)
+        return F.when(
+            F.ltrim(source).startswith("{"), _whole_or_zero(_number_text(inner))
+        ).otherwise(F.greatest(_whole_or_zero(_number_text(source), digits), zero))
+    return F.greatest(_whole_or_zero(source.cast("double")), zero)
 
 
 def _map_literal(values: dict[str, str]) -> Column:

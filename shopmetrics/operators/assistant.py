@@ -9,7 +9,6 @@ from shopmetrics import fixed_values as V
 from shopmetrics.functions.mathx import tenth_text, whole_text
 from shopmetrics.operators.prefix_topk import Axis, best_per_key, prefix_top_k
 from shopmetrics.operators.ranking import distinct_counts, with_prefix
-from shopmetrics.operators.skew import salted_lookup
 from shopmetrics.operators.stats import category_means
 from shopmetrics.schema import require_columns
 
@@ -68,12 +67,11 @@ def _percentile_per_price(df: DataFrame) -> DataFrame:
 
 def price_percentile(df: DataFrame) -> DataFrame:
     """Share of strictly cheaper products in each product's category."""
-    return salted_lookup(
-        df.select("product_id", "category", "price"),
-        _percentile_per_price(df),
-        ["category", "price"],
-        spread_by=["product_id"],
-    ).select("product_id", "price_percentile", "percentile_note")
+    return (
+        df.select("product_id", "category", "price")
+        .join(_percentile_per_price(df), ["category", "price"])
+        .select("product_id", "price_percentile", "percentile_note")
+    )
 
 
 # --- cheaper alternatives -----------------------------------------------------
@@ -146,10 +144,8 @@ def cheaper_alternatives(
         F.col("value_score").alias("alt_score"),
         F.col("url").alias("alt_url"),
     )
-    # The best product of a category is an alternative for most of the others.
-    cell = ["category", "price", "rating"]
-    filled = salted_lookup(cells, details, ["alt_id"], spread_by=cell)
-    answers = salted_lookup(wanted, filled, cell, spread_by=["product_id"])
+    filled = cells.join(details, "alt_id")
+    answers = wanted.join(filled, ["category", "price", "rating"])
     return answers.select(
         "product_id",
         "place",
@@ -327,12 +323,7 @@ def evaluate_products(df: DataFrame, product_ids: DataFrame | None = None) -> Da
     )
     none = F.format_string(V.NOTE_NONE, F.col("category"))
     return (
-        salted_lookup(
-            wanted,
-            _percentile_per_price(df),
-            ["category", "price"],
-            spread_by=["product_id"],
-        )
+        wanted.join(_percentile_per_price(df), ["category", "price"])
         .join(listed, "product_id", "left")
         .select(
             "product_id",
@@ -433,11 +424,8 @@ def recommend_batch(df: DataFrame, requests: DataFrame, n: int = 5) -> DataFrame
     candidates = best_per_key(scoped, ["scope", "price"], order, n).join(
         places.drop("bound"), ["scope", "price"]
     ).select("scope", "position", "top", "value_score", "product_id")
-    asked = salted_lookup(
-        valid.withColumnRenamed("budget", "price"),
-        places.drop("position"),
-        ["scope", "price"],
-        spread_by=["request_id"],
+    asked = valid.withColumnRenamed("budget", "price").join(
+        places.drop("position"), ["scope", "price"]
     )
     cells = asked.select("scope", "bound", "top").filter("bound > 0").distinct()
     found = prefix_top_k(
@@ -449,19 +437,12 @@ def recommend_batch(df: DataFrame, requests: DataFrame, n: int = 5) -> DataFrame
         order=order,
         k=n,
     ).drop("value_score")
-    filled = salted_lookup(
-        found,
-        df.select(*RECOMMENDATION_COLUMNS),
-        ["product_id"],
-        spread_by=["scope", "bound"],
-    )
-    # Every request that affords all prices has the same bound.
-    return salted_lookup(
-        asked.select("request_id", "scope", "bound"),
-        filled,
-        ["scope", "bound"],
-        spread_by=["request_id"],
-    ).select("request_id", "place", *RECOMMENDATION_COLUMNS)
+    filled = found.join(df.select(*RECOMMENDATION_COLUMNS), "product_id")
+    return (
+        asked.select("request_id", "scope", "bound")
+        .join(filled, ["scope", "bound"])
+        .select("request_id", "place", *RECOMMENDATION_COLUMNS)
+    )
 
 
 def explain_recommendations(

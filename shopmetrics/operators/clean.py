@@ -63,6 +63,7 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
+    """Defaults for what is null; normalised primary rows have no nulls here."""
     defaults = {
         "shop": F.lit(V.PRIMARY_PLATFORM),
         "category": F.lit(V.UNKNOWN_CATEGORY),
@@ -137,12 +138,19 @@ def outliers(df: DataFrame) -> DataFrame:
 
 
 def clean_unflagged(df: DataFrame) -> DataFrame:
-    """Every cleaning step before the outlier flag, in order."""
-    if "product_id" not in df.columns:
-        df = normalize_primary(df)
-    steps = drop_incomplete(df)
-    steps = dedup_products(fill_defaults(steps))
-    return positive_price(clip_ranges(steps)).select(*PRODUCT_COLUMNS)
+    """Every cleaning step before the outlier flag, in order.
+
+    Raw rows lose incomplete rows and later copies before they are normalised:
+    neither step needs more than id and name (a raw price is never missing), so
+    texts are only parsed for rows that stay.
+    """
+    if "product_id" in df.columns:
+        unique = dedup_products(fill_defaults(drop_incomplete(df)))
+    elif {"id", "name"} <= set(df.columns):
+        unique = normalize_primary(keep_first(df.dropna("any", ["id", "name"]), "id"))
+    else:
+        unique = dedup_products(fill_defaults(drop_incomplete(normalize_primary(df))))
+    return positive_price(clip_ranges(unique)).select(*PRODUCT_COLUMNS)
 
 
 def clean_products(
@@ -187,8 +195,11 @@ def cleaning_audit(df: DataFrame) -> DataFrame:
         F.count_if(real).alias("n_unique"),
         F.count_if(real & (F.col("_price") > 0)).alias("n_clean"),
     )
-    flagged = clean_products(df).agg(F.count_if(OUTLIER_COLUMN).alias("n")).scalar()
-    counts = counts.withColumn("n_flagged", flagged)
+    prices = per_product.filter(real).select(F.col("_price").alias("price"))
+    flagged = flag_price_outliers(positive_price(prices)).agg(
+        F.count_if(OUTLIER_COLUMN)
+    )
+    counts = counts.withColumn("n_flagged", flagged.scalar())
 
     def step(number: int, name: str, rows_in: str, rows_out: str) -> Column:
         return F.struct(

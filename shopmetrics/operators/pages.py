@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shopmetrics import fixed_values as V
 from shopmetrics.operators.prefix_topk import best_per_key
-from shopmetrics.operators.skew import salted_lookup
 
 # Text that an HTML parser does not read as tags.
 _NOT_TAGS = (
@@ -102,7 +101,6 @@ def attach_previews(
     order = [F.asc(page_order or "html")]
     one_per_url = best_per_key(needed, ["url"], order, 1).select("url", "html")
     previews = page_previews(one_per_url).select("url", "image", "title", "description")
-    keys = [name for name in recommended.columns if name != "url"]
-    return salted_lookup(
-        recommended, previews, ["url"], spread_by=keys, how="left"
-    ).withColumn("placeholder", F.when(F.col("image").isNull(), F.lit(V.PREVIEW_NO_IMAGE)))
+    return recommended.join(previews, "url", "left").withColumn(
+        "placeholder", F.when(F.col("image").isNull(), F.lit(V.PREVIEW_NO_IMAGE))
+    )

@@ -86,7 +86,7 @@ def marketplace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written product table."""
     return _once(
-        spark, sf_dir, "products", lambda: build_products(normalised(spark, sf_dir))
+        spark, sf_dir, "products", lambda: build_products(raw(spark, sf_dir))
     )
 
 

@@ -9,13 +9,13 @@ from shopmetrics.operators.normalize import union_sources
 from shopmetrics.sources.staging import stage
 
 
-def build_products(*normalised: DataFrame) -> DataFrame:
-    """Clean, flagged product table of all sources.
+def build_products(*sources: DataFrame) -> DataFrame:
+    """Clean, flagged product table of one raw source or several normalised ones.
 
     The cleaned rows are written once, so finding the price fences and applying
     them read the narrow cleaned table instead of the raw rows again.
     """
-    merged = union_sources(*normalised) if len(normalised) > 1 else normalised[0]
+    merged = union_sources(*sources) if len(sources) > 1 else sources[0]
     return clean.flag_price_outliers(stage(clean.clean_unflagged(merged), "unflagged"))
 
 
