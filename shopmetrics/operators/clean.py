@@ -147,7 +147,7 @@ def clean_unflagged(df: DataFrame) -> DataFrame:
     if "product_id" in df.columns:
         unique = dedup_products(fill_defaults(drop_incomplete(df)))
     elif {"id", "name"} <= set(df.columns):
-        unique = normalize_primary(keep_first(df.dropna("any", ["id", "name"]), "id"))
+        unique = normalize_primary(keep_first(df.dropna("any", subset=["id", "name"]), "id"))
     else:
         unique = dedup_products(fill_defaults(drop_incomplete(normalize_primary(df))))
     return positive_price(clip_ranges(unique)).select(*PRODUCT_COLUMNS)
