@@ -90,7 +90,7 @@ def _bins(source: str, count: str) -> dict[str, str]:
 
 
 AUTO_BINS = """
-    (SELECT ceil((high - low) / CASE WHEN fd > 0 THEN least(fd, st) ELSE st END)
+    (SELECT ceil((high - low) / least(greatest(fd, (high - low) / sqrt(n) / 2), st))
      FROM (SELECT *, 2 * (SELECT quantile_cont(price, 0.75) - quantile_cont(price, 0.25)
                           FROM grouped) / cbrt(n::DOUBLE) AS fd,
                   (high - low) / (log2(n::DOUBLE) + 1) AS st FROM span))"""

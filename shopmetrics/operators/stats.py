@@ -389,13 +389,18 @@ def _value_range(df: DataFrame, value: str) -> Column:
 
 
 def automatic_bins(df: DataFrame, value: str = "price") -> DataFrame:
-    """One row ``n_bins``: the finer of the Sturges and Freedman-Diaconis rules."""
+    """One row ``n_bins``: the finer of the Sturges and Freedman-Diaconis rules.
+
+    The latter is kept from giving more than twice the root of the row count.
+    """
     span = _value_range(df, value)
     quartiles = exact_quantiles(df, value, {"q1": 0.25, "q3": 0.75})
-    width = (F.col("q3") - F.col("q1")) * 2 / F.cbrt(span["n"].cast("double"))
-    sturges = (span["high"] - span["low"]) / (F.log2(span["n"].cast("double")) + 1)
-    chosen = F.when(width > 0, F.least(width, sturges)).otherwise(sturges)
-    bins = F.ceil(F.try_divide(span["high"] - span["low"], chosen))
+    n, size = span["n"].cast("double"), span["high"] - span["low"]
+    by_quartiles = (F.col("q3") - F.col("q1")) * 2 / F.cbrt(n)
+    chosen = F.least(
+        F.greatest(by_quartiles, size / F.sqrt(n) / 2), size / (F.log2(n) + 1)
+    )
+    bins = F.ceil(F.try_divide(size, chosen))
     return quartiles.select(F.greatest(F.coalesce(bins, F.lit(1)), F.lit(1)).alias("n_bins"))
 
 
