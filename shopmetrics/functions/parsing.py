@@ -94,17 +94,16 @@ def map_category(path: Column) -> Column:
     The first id that is a family wins; failing that the last id of the
     detailed map; failing that the last id itself, prefixed.
     """
-    ids = F.split(path.cast("string"), "/")
-    families = _map_literal(V.PARENT_CATEGORIES)
-    details = _map_literal(V.DETAIL_CATEGORIES)
-    family = F.get(F.filter(ids, lambda i: F.map_contains_key(families, i)), F.lit(0))
-    detail = F.get(
-        F.filter(F.reverse(ids), lambda i: F.map_contains_key(details, i)), F.lit(0)
-    )
+    text = F.concat(F.lit("/"), path.cast("string"), F.lit("/"))
+    families, details = V.PARENT_CATEGORIES, V.DETAIL_CATEGORIES
+    first_family = F.regexp_extract(text, f"/({'|'.join(families)})/", 1)
+    last_detail = F.regexp_extract(text, f"(?s)^.*/({'|'.join(details)})/", 1)
     name = F.coalesce(
-        F.try_element_at(families, family),
-        F.try_element_at(details, detail),
-        F.concat(F.lit(V.CATEGORY_PREFIX), F.element_at(ids, -1)),
+        F.try_element_at(_map_literal(families), first_family),
+        F.try_element_at(_map_literal(details), last_detail),
+        F.concat(
+            F.lit(V.CATEGORY_PREFIX), F.substring_index(path.cast("string"), "/", -1)
+        ),
     )
     empty = path.isNull() | (path.cast("string") == "")
     return F.when(empty, F.lit(V.UNKNOWN_CATEGORY)).otherwise(name)

@@ -77,39 +77,47 @@ def price_percentile(df: DataFrame) -> DataFrame:
 # --- cheaper alternatives -----------------------------------------------------
 
 
-def _rating_positions(df: DataFrame, tolerance: float) -> DataFrame:
-    """Per rating: position counted from the best, and bound of what qualifies.
+def _rating_places(df: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Position of every rating counted from the best, and bound of what qualifies.
 
-    ``_worse_first`` ranks distinct ratings; a rating r qualifies for a product
-    rated x when r >= x - tolerance. Counting from the best rating makes that
-    "position below bound".
+    A rating r qualifies for a product rated x when r >= x - tolerance; counted
+    from the best rating that reads "position below bound". Both follow from the
+    ranks of the distinct ratings together with their lowered values, which
+    weigh nothing.
     """
-    ratings = df.select("rating").distinct()
+    lowered = F.col("rating") - F.lit(float(tolerance))
     marks = (
-        ratings.select(F.col("rating").alias("v"), F.lit(1).alias("w"))
-        .unionByName(
-            ratings.select(
-                (F.col("rating") - F.lit(float(tolerance))).alias("v"),
-                F.lit(0).alias("w"),
-            )
+        df.select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("rating").alias("v"), F.lit(1).alias("w")),
+                    F.struct(lowered.alias("v"), F.lit(0).alias("w")),
+                )
+            ).alias("m")
         )
-        .groupBy("v")
-        .agg(F.max("w").alias("n"))
+        .groupBy("m.v")
+        .agg(F.max("m.w").alias("n"))
     )
     placed = with_prefix(marks, "v")
-    own = placed.filter(F.col("n") == 1).select(
+    rated = placed.filter(F.col("n") == 1)
+    positions = rated.select(
         F.col("v").alias("rating"),
         (F.col("total") - 1 - F.col("before")).alias("rating_position"),
         (F.col("total") - 1).alias("rating_top"),
     )
-    limit = placed.select(
-        F.col("v").alias("_floor"), (F.col("total") - F.col("before")).alias("rating_bound")
+    floors = placed.select(
+        F.col("v").alias("_floor"),
+        (F.col("total") - F.col("before")).alias("rating_bound"),
+        (F.col("total") - 1).alias("rating_top"),
     )
-    return (
-        own.withColumn("_floor", F.col("rating") - F.lit(float(tolerance)))
-        .join(limit, "_floor")
+    bounds = (
+        df.select("rating")
+        .distinct()
+        .withColumn("_floor", lowered)
+        .join(floors, "_floor")
         .drop("_floor")
     )
+    return positions, bounds
 
 
 def cheaper_alternatives(
@@ -175,7 +183,7 @@ def _alternatives_per_cell(
         F.col("before").alias("price_position"),
         (F.col("total") - 1).alias("price_top"),
     )
-    rating_places = _rating_positions(df, tolerance)
+    rating_positions, rating_bounds = _rating_places(df, tolerance)
     order = [F.desc("value_score"), F.asc("alt_id")]
 
     # At most three products of one cell can be among anybody's best three.
@@ -186,7 +194,7 @@ def _alternatives_per_cell(
     candidates = (
         best_per_key(scored, cell, order, ALTERNATIVES)
         .join(price_places, ["category", "price"])
-        .join(rating_places.drop("rating_bound"), "rating")
+        .join(rating_positions, "rating")
         .select(
             "category", "price_position", "price_top", "rating_position",
             "rating_top", "value_score", "alt_id",
@@ -196,7 +204,7 @@ def _alternatives_per_cell(
         wanted.select(*cell)
         .distinct()
         .join(price_places, ["category", "price"])
-        .join(rating_places.drop("rating_position"), "rating")
+        .join(rating_bounds, "rating")
         .withColumn("price_bound", F.col("price_position"))
         .drop("price_position")
         .withColumn(
@@ -403,10 +411,8 @@ def recommend_batch(df: DataFrame, requests: DataFrame, n: int = 5) -> DataFrame
     )
     marks = (
         scoped.select("scope", "price", F.lit(1).alias("w"))
-        .distinct()
         .unionByName(
             valid.select("scope", F.col("budget").alias("price"), F.lit(0).alias("w"))
-            .distinct()
         )
         .groupBy("scope", "price")
         .agg(F.max("w").alias("n"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # A block of 2^l positions on the first axis is asked for by queries at up to
 # 2^l positions. Blocks above this level are kept in several copies, each
 # serving 2^LEVEL_SERVED positions, so no join key collects a whole group.
-LEVEL_SERVED = 10
+LEVEL_SERVED = 14
 
 
 @dataclass(frozen=True)

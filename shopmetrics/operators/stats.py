@@ -265,42 +265,24 @@ def choose_two_groups(df: DataFrame, column: str | None = None) -> DataFrame:
 
     The two largest categories; with fewer than two, the two largest shops;
     with fewer than two, discounts above 20 % against the others. ``column``
-    asks for the two largest values of that column instead.
+    asks for the two largest values of that column instead. The (at most two)
+    group names are looked up at once, so that the returned rows are a plain
+    filter which reaches the scan.
     """
-
-    def top_two(name: str) -> Column:
-        names = _ranked_counts(df, name, 2).agg(F.collect_list(name))
-        return names.scalar()
-
-    def label(name: str, condition: Column | None = None) -> Column:
-        chosen = F.array_contains(top_two(name), F.col(name))
-        if condition is not None:
-            chosen = chosen & condition
-        return F.when(chosen, F.col(name))
-
-    if column is not None:
-        labelled = df.withColumn("grouping", F.lit(column)).withColumn(
-            "grp", label(column)
-        )
-        return labelled.filter(F.col("grp").isNotNull())
-
-    kind = (
-        F.when(F.size(top_two("category")) >= 2, F.lit("category"))
-        .when(F.size(top_two("shop")) >= 2, F.lit("shop"))
-        .otherwise(F.lit("discount"))
-    )
-    by_discount = F.when(
-        F.col("discount_ratio") > V.HIGH_DISCOUNT, F.lit(V.DISCOUNT_ABOVE)
-    ).otherwise(F.lit(V.DISCOUNT_BELOW))
-    return (
-        df.withColumn("grouping", kind)
-        .withColumn(
-            "grp",
-            F.when(F.col("grouping") == "category", label("category"))
-            .when(F.col("grouping") == "shop", label("shop"))
-            .otherwise(by_discount),
-        )
-        .filter(F.col("grp").isNotNull())
+    for name in [column] if column else ["category", "shop"]:
+        largest = [row[name] for row in _ranked_counts(df, name, 2).collect()]
+        if len(largest) == 2 or column:
+            return df.filter(F.col(name).isin(largest)).withColumns(
+                {"grouping": F.lit(name), "grp": F.col(name)}
+            )
+    above = F.col("discount_ratio") > V.HIGH_DISCOUNT
+    return df.withColumns(
+        {
+            "grouping": F.lit("discount"),
+            "grp": F.when(above, F.lit(V.DISCOUNT_ABOVE)).otherwise(
+                F.lit(V.DISCOUNT_BELOW)
+            ),
+        }
     )
 
 
@@ -406,14 +388,29 @@ def automatic_bins(df: DataFrame, value: str = "price") -> DataFrame:
 
 def _bin_columns(df: DataFrame, value: str, bins: int | None) -> tuple[Column, ...]:
     """Bin number, lower edge and width of equal-width bins over the range."""
-    span = _value_range(df, value)
     count = F.lit(int(bins)) if bins else automatic_bins(df, value).scalar()
-    flat = span["high"] == span["low"]
+    low, high = F.col("low"), F.col("high")
     # All values equal: one unit around the value, as histogram tools do.
-    low = F.when(flat, span["low"] - 0.5).otherwise(span["low"])
-    width = F.when(flat, F.lit(1.0)).otherwise(span["high"] - span["low"]) / count
-    number = F.least(F.floor((F.col(value) - low) / width), (count - 1).cast("bigint"))
-    return number, low, width
+    flat = low == high
+    grid = (
+        df.agg(
+            F.min(value).cast("double").alias("low"),
+            F.max(value).cast("double").alias("high"),
+        )
+        .withColumn("count", count.cast("bigint"))
+        .select(
+            F.struct(
+                F.when(flat, low - 0.5).otherwise(low).alias("low"),
+                (F.when(flat, F.lit(1.0)).otherwise(high - low) / F.col("count")).alias(
+                    "width"
+                ),
+                (F.col("count") - 1).alias("last"),
+            )
+        )
+        .scalar()
+    )
+    number = F.least(F.floor((F.col(value) - grid["low"]) / grid["width"]), grid["last"])
+    return number, grid["low"], grid["width"]
 
 
 def group_density_histogram(

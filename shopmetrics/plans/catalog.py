@@ -90,6 +90,16 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def two_source_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written product table of both sources."""
+    return _once(
+        spark,
+        sf_dir,
+        "two-source-products",
+        lambda: build_products(normalised(spark, sf_dir), marketplace(spark, sf_dir)),
+    )
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written product table with scaled features and score."""
     return _once(
@@ -424,7 +434,7 @@ def a8_two_shops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a8_two_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank test of the price between the two platforms."""
-    both = build_products(normalised(spark, sf_dir), marketplace(spark, sf_dir))
+    both = two_source_products(spark, sf_dir)
     return stats.mann_whitney(stats.choose_two_groups(both, "platform"))
 
 
