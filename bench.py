@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import statistics
 import sys
 import tempfile
 import time
@@ -24,8 +23,8 @@ from shopmetrics.plans import catalog  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 ONLY = tuple(p for p in os.environ.get("BENCH_ONLY", "").split(",") if p)
-# Faster queries are run three times more, and their median counts.
-REPEAT_BELOW_SECONDS = 2.0
+# Faster queries are run once more, warm, and that run counts.
+RERUN_BELOW_SECONDS = 2.0
 
 
 def session() -> SparkSession:
@@ -72,8 +71,8 @@ def main() -> None:
             run(query(spark, SF_DIR))
 
         seconds[name] = timed(once)
-        if seconds[name] < REPEAT_BELOW_SECONDS:
-            seconds[name] = statistics.median(timed(once) for _ in range(3))
+        if seconds[name] < RERUN_BELOW_SECONDS:
+            seconds[name] = timed(once)
         print(f"{name} {seconds[name]:.2f}", file=sys.stderr, flush=True)
     scale = re.search(r"sf([0-9.]+)", SF_DIR)
     print(
