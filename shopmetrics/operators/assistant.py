@@ -169,92 +169,81 @@ def cheaper_alternatives(
     )
 
 
+def _entry() -> Column:
+    """What ranks a product among others: high score first, then id."""
+    return F.struct((-F.col("value_score")).alias("minus_score"), "product_id")
+
+
+def _placed(best: DataFrame) -> DataFrame:
+    """``best`` arrays as rows with ``place`` and ``alt_id``."""
+    kept = [name for name in best.columns if name != "best"]
+    return best.select(*kept, F.posexplode("best").alias("_at", "_entry")).select(
+        *kept,
+        (F.col("_at") + 1).alias("place"),
+        F.col("_entry.product_id").alias("alt_id"),
+    )
+
+
 def _alternatives_per_cell(
     df: DataFrame, wanted: DataFrame, tolerance: float
 ) -> DataFrame:
-    """(category, price, rating, place, alt_id, relaxed) for every wanted cell."""
+    """(category, price, rating, place, alt_id, relaxed) for every wanted cell.
+
+    The relaxed list depends on category and price only, so it is found once for
+    all ratings.
+    """
+    price = ["category", "price"]
+    cell = [*price, "rating"]
     price_places = with_prefix(
-        df.select("category", "price").distinct().withColumn("n", F.lit(1)),
-        "price",
-        ["category"],
+        df.select(*price).distinct().withColumn("n", F.lit(1)), "price", ["category"]
     ).select(
-        "category",
-        "price",
+        *price,
         F.col("before").alias("price_position"),
         (F.col("total") - 1).alias("price_top"),
     )
+    price_axis = Axis("price_position", "price_position", "price_top")
+    rating_axis = Axis("rating_position", "rating_bound", "rating_top")
     rating_positions, rating_bounds = _rating_places(df, tolerance)
-    order = [F.desc("value_score"), F.asc("alt_id")]
-
-    # At most three products of one cell can be among anybody's best three.
-    scored = df.select(
-        "category", "price", "rating", "value_score", F.col("product_id").alias("alt_id")
-    )
-    cell = ["category", "price", "rating"]
-    candidates = (
-        best_per_key(scored, cell, order, ALTERNATIVES)
-        .join(price_places, ["category", "price"])
-        .join(rating_positions, "rating")
-        .select(
-            "category", "price_position", "price_top", "rating_position",
-            "rating_top", "value_score", "alt_id",
-        )
-    )
-    queries = (
-        wanted.select(*cell)
-        .distinct()
-        .join(price_places, ["category", "price"])
-        .join(rating_bounds, "rating")
-        .withColumn("price_bound", F.col("price_position"))
-        .drop("price_position")
-        .withColumn(
-            "_ask",
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.lit(False).alias("relaxed"),
-                        F.col("rating_bound").alias("bound"),
-                    ),
-                    F.struct(
-                        F.lit(True).alias("relaxed"),
-                        (F.col("rating_top") + 1).alias("bound"),
-                    ),
-                )
-            ),
-        )
-        .withColumn("relaxed", F.col("_ask.relaxed"))
-        .withColumn("rating_bound", F.col("_ask.bound"))
-        .drop("_ask")
+    scored = df.select(*cell, _entry().alias("entry"))
+    cells = wanted.select(*cell).distinct()
+
+    # At most three products of one cell can be among anybody's best three, and
+    # likewise of one price.
+    strict = prefix_top_k(
+        best_per_key(scored, cell, [F.asc("entry")], ALTERNATIVES)
+        .join(price_places, price)
+        .join(rating_positions, "rating"),
+        cells.join(price_places, price).join(rating_bounds, "rating"),
+        group=["category"],
+        axes=[price_axis, rating_axis],
+        query_key=cell,
+        k=ALTERNATIVES,
     )
-    found = prefix_top_k(
-        candidates,
-        queries,
+    relaxed = prefix_top_k(
+        best_per_key(scored, price, [F.asc("entry")], ALTERNATIVES).join(
+            price_places, price
+        ),
+        wanted.select(*price).distinct().join(price_places, price),
         group=["category"],
-        axes=[
-            Axis("price_position", "price_bound", "price_top"),
-            Axis("rating_position", "rating_bound", "rating_top"),
-        ],
-        query_key=[*cell, "relaxed"],
-        order=order,
+        axes=[price_axis],
+        query_key=price,
         k=ALTERNATIVES,
     )
-    return _strict_or_relaxed(found, cell)
-
-
-def _strict_or_relaxed(found: DataFrame, cell: list[str]) -> DataFrame:
-    """Keep the strict list unless the relaxed one is longer."""
-    entry = F.struct("place", "alt_id", "relaxed")
-
-    def entries(relaxed: bool) -> Column:
-        return F.collect_list(F.when(F.col("relaxed") == relaxed, entry))
-
-    lists = found.groupBy(*cell).agg(
-        entries(False).alias("_strict"), entries(True).alias("_relaxed")
+    # Whoever has a strict list has a relaxed one at least as long.
+    n_strict = F.coalesce(F.size("_strict"), F.lit(0))
+    lists = (
+        cells.join(relaxed.withColumnRenamed("best", "_relaxed"), price)
+        .join(strict.withColumnRenamed("best", "_strict"), cell, "left")
+        .withColumn("relaxed", F.size("_relaxed") > n_strict)
+        .select(
+            *cell,
+            "relaxed",
+            F.when(F.col("relaxed"), F.col("_relaxed"))
+            .otherwise(F.col("_strict"))
+            .alias("best"),
+        )
     )
-    chosen = F.when(
-        F.size("_relaxed") > F.size("_strict"), F.col("_relaxed")
-    ).otherwise(F.col("_strict"))
-    return lists.select(*cell, F.explode(chosen).alias("_e")).select(*cell, "_e.*")
+    return _placed(lists)
 
 
 def alternative_notes(df: DataFrame, alternatives: DataFrame) -> DataFrame:
@@ -425,25 +414,28 @@ def recommend_batch(df: DataFrame, requests: DataFrame, n: int = 5) -> DataFrame
         (F.col("before") + F.col("n")).alias("bound"),
         (F.col("total") - 1).alias("top"),
     )
-    order = [F.desc("value_score"), F.asc("product_id")]
     # At most n products of one price can be among anybody's best n.
-    candidates = best_per_key(scoped, ["scope", "price"], order, n).join(
-        places.drop("bound"), ["scope", "price"]
-    ).select("scope", "position", "top", "value_score", "product_id")
+    candidates = best_per_key(
+        scoped.select("scope", "price", _entry().alias("entry")),
+        ["scope", "price"],
+        [F.asc("entry")],
+        n,
+    ).join(places.drop("bound"), ["scope", "price"])
     asked = valid.withColumnRenamed("budget", "price").join(
         places.drop("position"), ["scope", "price"]
     )
-    cells = asked.select("scope", "bound", "top").filter("bound > 0").distinct()
     found = prefix_top_k(
         candidates,
-        cells,
+        asked.select("scope", "bound", "top").filter("bound > 0").distinct(),
         group=["scope"],
         axes=[Axis("position", "bound", "top")],
         query_key=["scope", "bound"],
-        order=order,
         k=n,
-    ).drop("value_score")
-    filled = found.join(df.select(*RECOMMENDATION_COLUMNS), "product_id")
+    )
+    details = df.select(*RECOMMENDATION_COLUMNS)
+    filled = _placed(found).withColumnRenamed("alt_id", "product_id").join(
+        details, "product_id"
+    )
     return (
         asked.select("request_id", "scope", "bound")
         .join(filled, ["scope", "bound"])

@@ -71,17 +71,27 @@ def best_per_key(
     keys: list[str],
     order: list[Column],
     k: int,
-    place: str | None = None,
 ) -> DataFrame:
-    """The ``k`` first rows per key; ``place`` names a column for 1..k.
+    """The ``k`` first rows per key.
 
     Spark drops all but k rows per key in every map task before the shuffle.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_place", F.row_number().over(window)).filter(
-        F.col("_place") <= k
+    return (
+        df.withColumn("_place", F.row_number().over(window))
+        .filter(F.col("_place") <= k)
+        .drop("_place")
     )
-    return ranked.withColumnRenamed("_place", place) if place else ranked.drop("_place")
+
+
+def _spread_out(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows over all shuffle partitions, before they are multiplied.
+
+    Adaptive execution sizes tasks by the bytes they read; with a partition
+    count of its own the stage that multiplies rows is not merged into few tasks.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *columns)
 
 
 def _copies(level: Column) -> Column:
@@ -96,22 +106,17 @@ def prefix_top_k(
     group: list[str],
     axes: list[Axis],
     query_key: list[str],
-    order: list[Column],
     k: int,
 ) -> DataFrame:
-    """Rows (query key, candidate columns, ``place`` 1..k), best first.
+    """One row per query: its key and ``best``, the k smallest matching entries.
 
-    ``candidates`` has the group, the axis positions and tops, and the columns
-    ``order`` ranks by; ``queries`` has the group, a unique ``query_key`` and
-    the axis bounds and tops. Queries without a match have no row.
+    ``candidates`` has the group, the axis positions and tops, and ``entry``, a
+    struct whose ascending order says which candidate is better. ``queries`` has
+    the group, a unique ``query_key``, and the axis bounds and tops. Queries
+    without a match have no row.
     """
-    blocks = []
-    carried = [
-        name
-        for name in candidates.columns
-        if name not in group and name not in {a for x in axes for a in (x.position, x.top)}
-    ]
-    spread, asked = candidates, queries
+    spread = _spread_out(candidates, [*group, *[a.position for a in axes]])
+    asked = _spread_out(queries, [*group, *[a.bound for a in axes]])
     for i, axis in enumerate(axes):
         spread = spread.withColumn(
             f"_block{i}",
@@ -120,19 +125,24 @@ def prefix_top_k(
         asked = asked.withColumn(
             f"_block{i}", F.explode(_blocks_below(F.col(axis.bound), F.col(axis.top)))
         )
-        blocks.append(f"_block{i}")
 
-    keys = [*group, *blocks]
+    keys = [*group, *[f"_block{i}" for i in range(len(axes))]]
     copies = _copies(F.col("_block0.level"))
     kept = (
-        best_per_key(spread.select(*keys, *carried), keys, order, k)
+        best_per_key(spread.select(*keys, "entry"), keys, [F.asc("entry")], k)
+        .groupBy(*keys)
+        .agg(F.collect_list("entry").alias("_entries"))
         .withColumn(
             "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))
         )
     )
-    first_bound = F.col(axes[0].bound)
-    asked = asked.withColumn("_copy", F.pmod(first_bound, copies)).select(
+    asked = asked.withColumn("_copy", F.pmod(F.col(axes[0].bound), copies)).select(
         *keys, "_copy", *[name for name in query_key if name not in keys]
     )
-    found = asked.join(kept, [*keys, "_copy"]).select(*query_key, *carried)
-    return best_per_key(found, query_key, order, k, "place")
+    # A query has at most k entries from each of its few blocks.
+    merged = F.array_sort(F.flatten(F.collect_list("_entries")))
+    return (
+        asked.join(kept, [*keys, "_copy"])
+        .groupBy(*query_key)
+        .agg(F.slice(merged, 1, k).alias("best"))
+    )
