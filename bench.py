@@ -24,7 +24,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 ONLY = tuple(p for p in os.environ.get("BENCH_ONLY", "").split(",") if p)
 # Faster queries are run once more, warm, and that run counts.
-RERUN_BELOW_SECONDS = 2.0
+RERUN_BELOW_SECONDS = 10.0
 
 
 def session() -> SparkSession:
