@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmetrics.llm.jaccard_join import jaccard_join
+from shopmetrics.llm.mixing import mix
+from shopmetrics.llm.packing import pack_documents
 from shopmetrics.llm.substring_dedup import substring_dedup
+from shopmetrics.llm.tokens import default_path
+from shopmetrics.llm.wavelet import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +31,31 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir), size=3, num=90, den=100)
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(
+        _documents(spark, sf_dir), default_path("byte_bpe_50k.json"), length=1024, end_id=0
+    )
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_tokens(
+        _documents(spark, sf_dir), default_path("word_bpe_49k.json"), end_id=2
+    )
+    return read_tokens(folder, manifest).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.0, most=3.0).drop("source")
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
+    "op7_wavelet_tokens": op7_wavelet_tokens,
+    "op8_source_mixing": op8_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
