@@ -12,6 +12,7 @@ from shopmetrics.llm.mixing import mix
 from shopmetrics.llm.packing import pack_documents
 from shopmetrics.llm.substring_dedup import substring_dedup
 from shopmetrics.llm.tokens import default_path
+from shopmetrics.llm.toxicity import toxicity
 from shopmetrics.llm.wavelet import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir), size=3, num=90, den=100)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(_documents(spark, sf_dir).select("doc_id", "text"), labels).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(
         _documents(spark, sf_dir), default_path("byte_bpe_50k.json"), length=1024, end_id=0
@@ -54,6 +62,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_source_mixing": op8_source_mixing,

@@ -76,18 +76,25 @@ class Runs:
         return mix((self.sums[stop] - self.sums[start]) * self.back[start])
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i + 1]]."""
-    n = len(data)
-    if n == 0:
-        return Words(np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint64))
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last byte of the words of texts data[offsets[i]:offsets[i + 1]]."""
+    if len(data) == 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.zeros(n + 1, dtype=bool)
+    edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     begins, ends = ~space, ~space
     begins[1:] &= space[:-1] | edge[1:-1]
     ends[:-1] &= space[1:] | edge[1:-1]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+    """Hashed words of the texts data[offsets[i]:offsets[i + 1]]."""
+    n = len(data)
+    start, stop = bounds(data, offsets)
+    if n == 0:
+        return Words(np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint64))
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + 32, data)
     terms = data.astype(np.uint64)
@@ -99,8 +106,8 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     return Words(np.searchsorted(start, offsets).astype(np.int64), hashes)
 
 
-def slices(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Words]]:
-    """(row of the first text, words) of consecutive texts of one Arrow array.
+def byte_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of the first text, bytes, offsets) of consecutive texts of an Arrow array.
 
     Null texts count as empty.
     """
@@ -116,10 +123,16 @@ def slices(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Words]]:
         stop = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
         stop = min(max(stop, row + 1), rows)
         part = offsets[row : stop + 1]
-        yield row, split(data[part[0] : part[-1]], part - part[0], lower)
+        yield row, data[part[0] : part[-1]], part - part[0]
         row = stop
 
 
+def slices(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, Words]]:
+    """(row of the first text, hashed words) of consecutive texts of an Arrow array."""
+    for row, data, offsets in byte_slices(texts):
+        yield row, split(data, offsets, lower)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's longs."""
     return x.view(np.int64)
