@@ -53,7 +53,9 @@ PRIOR_DOCUMENTS = 4.0
 SKETCHES = 4
 # Features held by fewer toxic training documents than this number, or than this
 # share of them, are left out.
-LEAST_TOXIC, LEAST_SHARE = 3, 0.01
+LEAST_TOXIC, LEAST_SHARE = 5, 0.01
+# Beginnings of words count as suspicious only if so few of their documents are clean.
+CLEAN_SHARE = 0.01
 PREFIXES = range(4, 9)
 TABLE_BITS = 18
 ORDER = 4
@@ -510,15 +512,25 @@ def fit(
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * n.toxic))
-        .select(
-            "feature",
+        .withColumn(
+            "weight",
             F.round(
                 (F.col("toxic") + PRIOR_DOCUMENTS * prior)
                 / (F.col("toxic") + F.col("clean") + PRIOR_DOCUMENTS),
                 6,
-            ).alias("weight"),
+            ),
         )
         .where(F.col("weight") >= 2 * prior)
+        .select(
+            "feature",
+            F.when(
+                F.col("feature").endswith("-")
+                & (F.col("clean") > CLEAN_SHARE * (F.col("clean") + F.col("toxic"))),
+                F.col("weight") / 2,
+            )
+            .otherwise(F.col("weight"))
+            .alias("weight"),
+        )
         .collect()
     )
     return WordScorer({r.feature: r.weight for r in found}, prior)
