@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopmetrics.llm import sql
+from shopmetrics.llm.ball_tree import exact_top_k
 from shopmetrics.llm.jaccard_join import jaccard_join
 from shopmetrics.llm.mixing import mix
+from shopmetrics.llm.multi_index import nearest
 from shopmetrics.llm.packing import pack_documents
 from shopmetrics.llm.substring_dedup import substring_dedup
 from shopmetrics.llm.tokens import default_path
@@ -22,6 +25,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir).select("doc_id", "text"), 13).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
@@ -32,6 +39,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir), size=3, num=90, den=100)
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_embeddings(spark, sf_dir), every=20, k=20, target_recall=0.95)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity(_documents(spark, sf_dir).select("doc_id", "text"), labels).select(
@@ -59,12 +70,18 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.0, most=3.0).drop("source")
 
 
+def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_embeddings(spark, sf_dir), every=20, k=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_multi_index": op3_multi_index,
     "op4_toxicity": op4_toxicity,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_source_mixing": op8_source_mixing,
+    "op10_ball_tree": op10_ball_tree,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(sql.QUERIES)
