@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.llm import sql
 from shopmetrics.llm.ball_tree import exact_top_k
+from shopmetrics.llm.chat import format_chats
 from shopmetrics.llm.jaccard_join import jaccard_join
 from shopmetrics.llm.mixing import mix
 from shopmetrics.llm.multi_index import nearest
@@ -16,6 +17,7 @@ from shopmetrics.llm.packing import pack_documents
 from shopmetrics.llm.substring_dedup import substring_dedup
 from shopmetrics.llm.tokens import default_path
 from shopmetrics.llm.toxicity import toxicity
+from shopmetrics.llm.warc import read_warc, write_warc
 from shopmetrics.llm.wavelet import read_tokens, write_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +52,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0)
+    return read_warc(folder, manifest).drop("url")
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(
         _documents(spark, sf_dir), default_path("byte_bpe_50k.json"), length=1024, end_id=0
@@ -70,6 +77,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.0, most=3.0).drop("source")
 
 
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_embeddings(spark, sf_dir), every=20, k=20)
 
@@ -79,9 +90,11 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_multi_index": op3_multi_index,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_wavelet_tokens": op7_wavelet_tokens,
     "op8_source_mixing": op8_source_mixing,
+    "op9_chat_snapshots": op9_chat_snapshots,
     "op10_ball_tree": op10_ball_tree,
 }
 ORACLE_SQL: dict[str, str] = dict(sql.QUERIES)
