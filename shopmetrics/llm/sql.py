@@ -17,7 +17,7 @@ WITH d AS (
 ), words AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
 ), kept AS (
-  SELECT doc_id, string_agg(word, ' ' ORDER BY p) FILTER (WHERE g.p IS NULL) AS kept,
+  SELECT doc_id, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE g.p IS NULL) AS kept,
     count(g.p) AS n
   FROM words LEFT JOIN (SELECT doc_id AS own, p FROM gone) g
     ON words.doc_id = g.own AND words.p = g.p
@@ -64,7 +64,7 @@ WITH p AS (
   FROM p
 )
 SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
     (CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT)
       >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
@@ -107,10 +107,10 @@ FROM kept LEFT JOIN snapshots USING (conv_id) JOIN rendered USING (conv_id)
 
 EXACT_TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
