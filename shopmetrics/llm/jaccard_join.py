@@ -324,7 +324,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
         .select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
     )
     grams = stage_and_release(
-        texts.join(met.select("doc_id"), "doc_id", "left_semi")
+        # The met sets grow with the corpus: never broadcast them.
+        texts.join(met.select("doc_id").hint("merge"), "doc_id", "left_semi")
         .mapInArrow(_sets(size), "set_id long, grams array<long>")
         .join(met.select("set_id"), "set_id", "left_semi")
         .dropDuplicates(["set_id"]),
