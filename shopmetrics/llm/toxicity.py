@@ -520,7 +520,7 @@ def fit(
                 6,
             ),
         )
-        .where(F.col("weight") >= 2 * prior)
+        .where(F.col("weight") >= min(2 * prior, 0.5))
         .select(
             "feature",
             F.when(
