@@ -28,7 +28,6 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +39,9 @@ from shopmetrics.llm.components import components
 from shopmetrics.llm.sorted_runs import Columns, new_run, over_sorted
 from shopmetrics.llm.staged import stage_and_release
 
-# Second-level parts, and elements that may differ within a first-level part.
-PARTS, SLACK = 3, 1
-SUBSETS = comb(PARTS, SLACK)
+# Elements that may differ within a first-level part; a signature leaves out as many
+# of its second-level parts.
+SLACK = 1
 # Widths of a band, as a power of the inverse similarity.
 BAND_POWER = 2
 SKETCH_WORDS = 4
@@ -55,6 +54,8 @@ class Bands:
         if not 0 < num < den:
             raise ValueError("the similarity must lie between 0 and 1")
         self.num, self.den = num, den
+        # Second-level parts: with more, signatures are more selective and more numerous.
+        self.inner = 3 if 100 * num >= 85 * den else 2
         self.low, self.high = [1], []
 
     def reach(self, size: int) -> None:
@@ -107,6 +108,7 @@ def signatures(
     """(text, signature) rows; texts whose band allows no difference have none."""
     sizes = np.diff(first)
     band = bands.of(sizes)
+    inner = bands.inner
     out_text, out = [], []
     for up in (0, 1):
         tag = band + up
@@ -115,112 +117,113 @@ def signatures(
         if up:  # similar larger sets lie in the next band
             use &= sizes * bands.den // bands.num >= np.array(bands.low)[tag]
         use &= k > 0
-        parts = np.where(use, (k + SLACK + 1) // (SLACK + 1), 0)
-        base = np.concatenate([[0], np.cumsum(parts * PARTS)])
+        needed = (k + SLACK + 1) // (SLACK + 1)
+        spare = np.maximum(1, needed // 10)
+        parts = np.where(use, needed + spare, 0)
+        base = np.concatenate([[0], np.cumsum(parts * inner)])
         text = np.repeat(np.arange(len(sizes)), np.where(use, sizes, 0))
         gram = grams[np.repeat(use, sizes)]
-        cell = base[text] + (gram >> np.uint64(32)).astype(np.int64) % parts[text] * PARTS
-        cell += (gram & np.uint64(0xFFFFFFFF)).astype(np.int64) % PARTS
+        cell = base[text] + (gram >> np.uint64(32)).astype(np.int64) % parts[text] * inner
+        cell += (gram & np.uint64(0xFFFFFFFF)).astype(np.int64) % inner
         sums = np.zeros(base[-1], dtype=np.uint64)
         np.add.at(sums, cell, W.mix(gram + np.uint64(0x9E3779B97F4A7C15)))
-        sums = sums.reshape(-1, PARTS)
+        sums = sums.reshape(-1, inner)
         text = np.repeat(np.arange(len(sizes)), parts)
-        part = np.arange(len(text)) - np.repeat(base[:-1] // PARTS, parts)
+        part = np.arange(len(text)) - np.repeat(base[:-1] // inner, parts)
         place = W.mix(((tag[text] * (1 << 32) + part) * 4).astype(np.uint64))
-        for left_out in range(SUBSETS):
-            total = sums.sum(axis=1, dtype=np.uint64) - sums[:, left_out]
-            out.append(W.mix(W.mix(total + np.uint64(left_out)) ^ place))
-            out_text.append(text)
+        totals = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
+        # Similar sets agree on a signature in more parts than are spare. So if one of
+        # them has no more empty signatures than that, they share one that isn't empty.
+        empty = np.bincount(text, (totals == 0).sum(axis=1), len(sizes))
+        wanted = (totals != 0) | (empty > spare)[text][:, None]
+        for left_out in range(inner):
+            own = wanted[:, left_out]
+            total = totals[own, left_out]
+            out.append(W.mix(W.mix(total + np.uint64(left_out)) ^ place[own]))
+            out_text.append(text[own])
     return np.concatenate(out_text), np.concatenate(out)
 
 
-def _profiles(size: int, num: int, den: int):
-    """Map task: set size, set id, sketch and signatures of each text.
-
-    Within a batch only the first of equal sets carries the signatures.
-    """
+def _profiles(size: int):
+    """Map task: set size, set id and sketch of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
-            seen: set[int] = set()
             for row, found in W.slices(batch.column(1), lower=True):
                 grams, first = shingle_sets(found, size)
                 sizes = np.diff(first)
-                ident = set_ids(grams, first)
                 bits = np.zeros((len(sizes), 64 * SKETCH_WORDS), dtype=np.uint8)
                 text = np.repeat(np.arange(len(sizes)), sizes)
                 np.bitwise_xor.at(
                     bits, (text, (grams % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)), 1
                 )
                 sketch = np.packbits(bits, axis=1).view(np.int64)
-                fresh = np.zeros(len(sizes), dtype=bool)
-                for i, x in enumerate(ident.tolist()):
-                    if x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                owner, signs = signatures(
-                    grams[np.repeat(fresh, sizes)],
-                    np.concatenate([[0], np.cumsum(np.where(fresh, sizes, 0))]),
-                    bands,
-                )
-                order = np.argsort(owner, kind="stable")
-                ends = np.searchsorted(owner[order], np.arange(len(sizes) + 1))
                 columns = {
                     "doc_id": batch.column(0).slice(row, len(sizes)),
                     "n_shingles": pa.array(sizes),
-                    "set_id": pa.array(ident),
+                    "set_id": pa.array(set_ids(grams, first)),
                 }
                 for j in range(SKETCH_WORDS):
                     columns[f"s{j}"] = pa.array(np.ascontiguousarray(sketch[:, j]))
-                columns["signatures"] = pa.ListArray.from_arrays(
-                    pa.array(ends.astype(np.int32)), pa.array(W.signed(signs[order]))
-                )
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-PROFILE_SCHEMA = (
-    "doc_id long, n_shingles long, set_id long, "
-    + ", ".join(f"s{j} long" for j in range(SKETCH_WORDS))
-    + ", signatures array<long>"
+PROFILE_SCHEMA = "doc_id long, n_shingles long, set_id long, " + ", ".join(
+    f"s{j} long" for j in range(SKETCH_WORDS)
 )
 ROW_SCHEMA = "settled boolean, key long, sign long, set_id long, pivot long"
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signature_rows(size: int, num: int, den: int):
     """Map task: a row for each signature; a batch's sets meet here already.
 
-    Of the sets of a batch that share a signature only the smallest goes on to
-    the signature's reduce task; the others are tied to it.
+    Equal sets of a batch count once. Of the sets of a batch that share a
+    signature only the smallest goes on to the signature's reduce task; the
+    others are tied to it, in rows that are dealt by themselves.
     """
-    for batch in batches:
-        lists = batch.column(1)
-        sign = lists.flatten().to_numpy(zero_copy_only=False)
-        count = np.diff(lists.offsets.to_numpy())
-        ident = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), count)
-        order = np.lexsort((ident, sign))
-        sign, ident = sign[order], ident[order]
-        fresh = new_run(sign, ident)
-        sign, ident = sign[fresh], ident[fresh]
-        head = new_run(sign)
-        size = np.diff(np.append(np.flatnonzero(head), len(sign)))
-        pivot = np.repeat(ident[head], size)
-        settled = np.concatenate([np.zeros(head.sum(), bool), np.ones(len(sign), bool)])
-        several = np.repeat(size > 1, size)
-        pick = np.concatenate([np.flatnonzero(head), np.flatnonzero(several)])
-        settled = settled[: len(pick)]
-        spread = W.mix((sign ^ ident).view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "settled": pa.array(settled),
-                "key": pa.array(np.where(settled, spread[pick], sign[pick])),
-                "sign": pa.array(sign[pick]),
-                "set_id": pa.array(ident[pick]),
-                "pivot": pa.array(pivot[pick]),
-            }
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            seen: set[int] = set()
+            signs, idents = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for _, found in W.slices(batch.column(0), lower=True):
+                grams, first = shingle_sets(found, size)
+                sizes = np.diff(first)
+                ident = set_ids(grams, first)
+                fresh = np.zeros(len(sizes), dtype=bool)
+                for i, x in enumerate(ident.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                kept = np.concatenate([[0], np.cumsum(np.where(fresh, sizes, 0))])
+                owner, sign = signatures(grams[np.repeat(fresh, sizes)], kept, bands)
+                signs.append(W.signed(sign))
+                idents.append(ident[owner])
+            sign, ident = np.concatenate(signs), np.concatenate(idents)
+            order = np.lexsort((ident, sign))
+            sign, ident = sign[order], ident[order]
+            head = new_run(sign)
+            count = np.diff(np.append(np.flatnonzero(head), len(sign)))
+            several = np.repeat(count > 1, count)
+            pick = np.concatenate([np.flatnonzero(head), np.flatnonzero(several)])
+            settled = np.arange(len(pick)) >= head.sum()
+            pivot = np.repeat(ident[head], count)
+            spread = W.mix((sign ^ ident).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "settled": pa.array(settled),
+                    "key": pa.array(np.where(settled, spread[pick], sign[pick])),
+                    # A row that goes on has its signature in the key.
+                    "sign": pa.array(np.where(settled, sign[pick], 0)),
+                    "set_id": pa.array(ident[pick]),
+                    "pivot": pa.array(np.where(settled, pivot[pick], 0)),
+                }
+            )
+
+    return run
 
 
 def _meet(rows: Columns, last: bool) -> tuple[Columns, Columns]:
@@ -231,7 +234,8 @@ def _meet(rows: Columns, last: bool) -> tuple[Columns, Columns]:
     pivot = np.where(settled, rows["pivot"], ident[head][run])
     several = (ident[np.append(head[1:], len(key)) - 1] != ident[head])[run]
     emit = settled | (several & ~rows["seen"])
-    out = {"sign": rows["sign"][emit], "set_id": ident[emit], "pivot": pivot[emit]}
+    sign = np.where(settled, rows["sign"], key)
+    out = {"sign": sign[emit], "set_id": ident[emit], "pivot": pivot[emit]}
     again = {c: v[:0] for c, v in rows.items()}
     if not last and not settled[-1]:  # the run may go on; its smallest set stands for it
         again = {c: v[head[-1] : head[-1] + 1].copy() for c, v in rows.items()}
@@ -291,13 +295,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     ``component_id`` is the smallest doc_id reachable by links.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = stage_and_release(
-        texts.mapInArrow(_profiles(size, num, den), PROFILE_SCHEMA), "profiles"
-    )
-    signs = profiles.where("size(signatures) > 0").select("set_id", "signatures")
+    profiles = stage_and_release(texts.mapInArrow(_profiles(size), PROFILE_SCHEMA), "profiles")
     shared = stage_and_release(
         over_sorted(
-            signs.mapInArrow(_signature_rows, ROW_SCHEMA),
+            texts.select("text").mapInArrow(_signature_rows(size, num, den), ROW_SCHEMA),
             "key",
             ["settled", "key", "set_id"],
             _meet,

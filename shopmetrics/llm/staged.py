@@ -10,12 +10,12 @@ from shopmetrics.sources.staging import stage
 
 
 def stage_and_release(df: DataFrame, name: str) -> DataFrame:
-    """Stage ``df``; shuffle files of plans that nobody holds any more may go.
+    """Stage ``df``, after shuffle files of plans that nobody holds any more may go.
 
     Spark deletes the shuffle files of a finished plan once the driver has
-    collected its garbage, which a driver with little to do seldom does.
+    collected its garbage, which a driver with little to do seldom does. The
+    caller still holds ``df`` here; its files go when the next table is staged.
     """
-    staged = stage(df, name)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    return staged
+    return stage(df, name)
