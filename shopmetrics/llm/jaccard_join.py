@@ -102,6 +102,45 @@ def set_ids(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return W.signed(W.mix((sums[first[1:]] - sums[first[:-1]]) ^ W.mix(sizes)))
 
 
+def wide_sketches(grams: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Parity sketches with at least one bit for each element, of a power of two bits.
+
+    The exclusive or of two has at most as many ones as the sets differ in
+    elements; a longer one folds to the length of a shorter one.
+    """
+    sizes = np.diff(first)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1)))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = base[text] + ((grams >> np.uint64(20)).astype(np.int64) & (bits[text] - 1))
+    flags = np.zeros(base[-1], dtype=np.uint8)
+    np.bitwise_xor.at(flags, place, 1)
+    offsets = pa.py_buffer((base // 8).astype(np.int32))
+    packed = pa.py_buffer(np.packbits(flags, bitorder="little"))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, offsets, packed])
+
+
+def _near_sketches(num: int, den: int):
+    """Map task: pairs that their wide sketches don't exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy(zero_copy_only=False)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, (one, two) in enumerate(zip(batch.column(3), batch.column(4))):
+                one = np.frombuffer(one.as_py(), np.uint8)
+                two = np.frombuffer(two.as_py(), np.uint8)
+                while len(one) > len(two):
+                    one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+                while len(two) > len(one):
+                    two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+                apart = int(np.bitwise_count(one ^ two).sum())
+                keep[i] = apart * (den + num) <= int(total[i]) * (den - num)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
 def signatures(
     grams: np.ndarray, first: np.ndarray, bands: Bands
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +201,7 @@ def _profiles(size: int):
                     "doc_id": batch.column(0).slice(row, len(sizes)),
                     "n_shingles": pa.array(sizes),
                     "set_id": pa.array(set_ids(grams, first)),
+                    "wide": wide_sketches(grams, first),
                 }
                 for j in range(SKETCH_WORDS):
                     columns[f"s{j}"] = pa.array(np.ascontiguousarray(sketch[:, j]))
@@ -170,7 +210,7 @@ def _profiles(size: int):
     return run
 
 
-PROFILE_SCHEMA = "doc_id long, n_shingles long, set_id long, " + ", ".join(
+PROFILE_SCHEMA = "doc_id long, n_shingles long, set_id long, wide binary, " + ", ".join(
     f"s{j} long" for j in range(SKETCH_WORDS)
 )
 ROW_SCHEMA = "settled boolean, key long, sign long, set_id long, pivot long"
@@ -278,8 +318,22 @@ def _may_link(num: int, den: int):
     return apart * (den + num) <= total * (den - num)
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough."""
+def _verified(
+    pairs: DataFrame, met: DataFrame, grams: DataFrame, num: int, den: int
+) -> DataFrame:
+    """Pairs (a, b) whose sets are similar enough.
+
+    Sketches go to the pairs first; the full sets only to pairs near in them.
+    """
+    first = met.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("wide").alias("wa"))
+    second = met.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("wide").alias("wb"))
+    pairs = stage_and_release(
+        pairs.join(first, "a")
+        .join(second, "b")
+        .select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "wa", "wb")
+        .mapInArrow(_near_sketches(num, den), "a long, b long"),
+        "near-pairs",
+    )
     a = grams.select(F.col("set_id").alias("a"), F.col("grams").alias("ga"))
     b = grams.select(F.col("set_id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
@@ -311,7 +365,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     met = stage_and_release(
         profiles.join(shared.select("set_id").distinct(), "set_id", "left_semi")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in sketches)),
+        .agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ["wide", *sketches])),
         "met-sets",
     )
     left, right = _sketch_side(met, "a"), _sketch_side(met, "b")
@@ -332,7 +386,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
         .dropDuplicates(["set_id"]),
         "sets",
     )
-    links = stage_and_release(_verified(pairs, grams, num, den), "links")
+    links = stage_and_release(_verified(pairs, met, grams, num, den), "links")
     roots = components(links)
     labelled = (
         shared.select("sign", "set_id")
@@ -348,7 +402,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     open_rows = stage_and_release(
         labelled.join(mixed, "sign", "left_semi")
         .distinct()
-        .join(met.drop("doc_id"), "set_id"),
+        .join(met.drop("doc_id", "wide"), "set_id"),
         "open-signatures",
     )
 
@@ -364,7 +418,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
         .select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
         .distinct()
     )
-    links = links.unionByName(stage_and_release(_verified(further, grams, num, den), "links"))
+    links = links.unionByName(stage_and_release(_verified(further, met, grams, num, den), "links"))
     roots = components(links).withColumnRenamed("id", "set_id")
     rooted = profiles.select("doc_id", "n_shingles", "set_id").join(roots, "set_id", "left")
     rooted = rooted.withColumn(
