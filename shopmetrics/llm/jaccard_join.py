@@ -3,11 +3,12 @@
 Method. A document's set holds the 64-bit hashes of its distinct shingles.
 Sets fall into size bands; two sets that are similar enough lie in one band or
 in neighbouring ones, and differ in at most k elements, where k follows from
-the band. The domain of hashes is cut into n1 parts, each into n2 smaller
+the band. The domain of hashes is cut into n1 parts, each into n2 = 2 smaller
 ones: by the pigeonhole principle two such sets differ in at most k2 = 1
 elements within some part, so they agree on one of the subsets of n2 - k2
 smaller parts. A signature is the hash of a set restricted to such a subset.
-Similar sets therefore share a signature, and no link is lost.
+Similar sets therefore share signatures; how many of them is known, so each set
+goes without the weakest ones (of fewest elements) and no link is lost.
 
 Equal sets are collapsed first. Rows of a signature shared by several sets
 are met in one sorted pass, which links each set to the smallest one (the
@@ -42,9 +43,12 @@ from shopmetrics.llm.staged import stage_and_release
 # Elements that may differ within a first-level part; a signature leaves out as many
 # of its second-level parts.
 SLACK = 1
+INNER = 2
 # Widths of a band, as a power of the inverse similarity.
 BAND_POWER = 2
 SKETCH_WORDS = 4
+# A first-level part more than the pigeonhole principle asks for to so many of them.
+SPARE = 10
 
 
 class Bands:
@@ -54,8 +58,6 @@ class Bands:
         if not 0 < num < den:
             raise ValueError("the similarity must lie between 0 and 1")
         self.num, self.den = num, den
-        # Second-level parts: with more, signatures are more selective and more numerous.
-        self.inner = 3 if 100 * num >= 85 * den else 2
         self.low, self.high = [1], []
 
     def reach(self, size: int) -> None:
@@ -144,42 +146,50 @@ def _near_sketches(num: int, den: int):
 def signatures(
     grams: np.ndarray, first: np.ndarray, bands: Bands
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) rows; texts whose band allows no difference have none."""
+    """(text, signature) rows; texts that can differ from no other similar one have none.
+
+    Each element that differs changes one of the 2 p signatures of p parts, so a
+    difference of k leaves 2 p - k equal. A set goes without one less than that, of
+    those that rest on the fewest elements: in an order that is the same for all
+    sets, the last signature that two similar sets share is one that both keep.
+    """
     sizes = np.diff(first)
     band = bands.of(sizes)
-    inner = bands.inner
     out_text, out = [], []
     for up in (0, 1):
         tag = band + up
         k = bands.difference(tag)
-        use = sizes > 0
+        largest = np.minimum(sizes * bands.den // bands.num, np.array(bands.high)[tag])
+        own_k = (sizes + largest) * (bands.den - bands.num) // (bands.den + bands.num)
+        use = (sizes > 0) & (own_k > 0)
         if up:  # similar larger sets lie in the next band
             use &= sizes * bands.den // bands.num >= np.array(bands.low)[tag]
-        use &= k > 0
         needed = (k + SLACK + 1) // (SLACK + 1)
-        spare = np.maximum(1, needed // 10)
-        parts = np.where(use, needed + spare, 0)
-        base = np.concatenate([[0], np.cumsum(parts * inner)])
+        parts = np.where(use, needed + np.maximum(1, needed // SPARE), 0)
+        base = np.concatenate([[0], np.cumsum(parts * INNER)])
         text = np.repeat(np.arange(len(sizes)), np.where(use, sizes, 0))
         gram = grams[np.repeat(use, sizes)]
-        cell = base[text] + (gram >> np.uint64(32)).astype(np.int64) % parts[text] * inner
-        cell += (gram & np.uint64(0xFFFFFFFF)).astype(np.int64) % inner
+        cell = base[text] + (gram >> np.uint64(32)).astype(np.int64) % parts[text] * INNER
+        cell += (gram & np.uint64(0xFFFFFFFF)).astype(np.int64) % INNER
         sums = np.zeros(base[-1], dtype=np.uint64)
         np.add.at(sums, cell, W.mix(gram + np.uint64(0x9E3779B97F4A7C15)))
-        sums = sums.reshape(-1, inner)
+        sums = sums.reshape(-1, INNER)
+        held = np.bincount(cell, minlength=base[-1]).reshape(-1, INNER)
         text = np.repeat(np.arange(len(sizes)), parts)
-        part = np.arange(len(text)) - np.repeat(base[:-1] // inner, parts)
+        part = np.arange(len(text)) - np.repeat(base[:-1] // INNER, parts)
         place = W.mix(((tag[text] * (1 << 32) + part) * 4).astype(np.uint64))
         totals = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums
-        # Similar sets agree on a signature in more parts than are spare. So if one of
-        # them has no more empty signatures than that, they share one that isn't empty.
-        empty = np.bincount(text, (totals == 0).sum(axis=1), len(sizes))
-        wanted = (totals != 0) | (empty > spare)[text][:, None]
-        for left_out in range(inner):
-            own = wanted[:, left_out]
-            total = totals[own, left_out]
-            out.append(W.mix(W.mix(total + np.uint64(left_out)) ^ place[own]))
-            out_text.append(text[own])
+        weight = held.sum(axis=1)[:, None] - held
+        sign = W.mix(W.mix(totals + np.arange(INNER, dtype=np.uint64)) ^ place[:, None]).ravel()
+        order = np.minimum(weight, 255).astype(np.uint64).ravel() << np.uint64(56)
+        order |= sign >> np.uint64(8)
+        shared = 2 * parts - own_k
+        wanted = np.ones(len(sign), dtype=bool)
+        for i in np.flatnonzero(use & (shared > 1)):
+            weakest = np.argpartition(order[base[i] : base[i + 1]], shared[i] - 1)
+            wanted[base[i] + weakest[: shared[i] - 1]] = False
+        out.append(sign[wanted])
+        out_text.append(np.repeat(text, INNER)[wanted])
     return np.concatenate(out_text), np.concatenate(out)
 
 
