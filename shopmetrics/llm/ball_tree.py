@@ -20,7 +20,6 @@ vec_id. With fewer than k other vectors all come. Other columns aren't read.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,45 +68,83 @@ def build(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
     return node
 
 
+def leaf_bounds(root: Node, queries: np.ndarray, floors: np.ndarray) -> tuple[list[Node], np.ndarray]:
+    """Leaves, and what no vector in them scores above (a column for each).
+
+    A query goes down to the children of a node only if the node's bound reaches
+    its floor; leaves that it doesn't come to have a bound of minus infinity.
+    """
+    norms = np.sqrt((queries**2).sum(axis=1))
+    leaves: list[Node] = []
+    columns: list[np.ndarray] = []
+    waiting = [(root, np.arange(len(queries)), np.full(len(queries), np.inf))]
+    while waiting:
+        node, active, above = waiting.pop()
+        value, reach = queries[active] @ node.centre, norms[active] * node.radius
+        bound = np.minimum(above, value + reach + MARGIN * (np.abs(value) + reach + 1.0))
+        alive = bound >= floors[active]
+        active, bound = active[alive], bound[alive]
+        if len(active) and node.children:
+            waiting += [(child, active, bound) for child in node.children]
+        elif len(active):
+            leaves.append(node)
+            columns.append(np.full(len(queries), -np.inf))
+            columns[-1][active] = bound
+    return leaves, np.stack(columns, axis=1) if columns else np.zeros((len(queries), 0))
+
+
 def search(
-    root: Node, points: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, floor: float
-) -> list[tuple[float, int]]:
-    """(score, id) of up to k best with a score of at least ``floor``; ids ascend by row."""
-    norm = float(np.sqrt(query @ query))
-
-    def bound(node: Node) -> float:
-        value = float(query @ node.centre) + norm * node.radius
-        return value + MARGIN * (abs(value) + norm * node.radius + 1.0)
-
-    best: list[tuple[float, int]] = []  # heap of (score, -id): the worst first
-    queue = [(-bound(root), 0, root)]
-    count = 1
-    while queue:
-        value, _, node = heapq.heappop(queue)
-        if -value < floor:
+    root: Node,
+    points: np.ndarray,
+    ids: np.ndarray,
+    queries: np.ndarray,
+    own: np.ndarray,
+    k: int,
+    floors: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's up to k best with a score of at least its floor.
+
+    ``ids`` ascend by row. Each query takes leaves in order of their bounds, in
+    rounds of 1, 1, 2, 4, 8 ... leaves, and stops at the first bound below its
+    k-th best score; queries that are at the same leaf are scored together.
+    """
+    floors = floors.astype(np.float64)
+    leaves, bounds = leaf_bounds(root, queries, floors)
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    reach = np.take_along_axis(bounds, order, axis=1)
+    query = row = np.zeros(0, dtype=np.int64)
+    score = np.zeros(0)
+    start = 0
+    while start < len(leaves):
+        stop = min(len(leaves), max(1, 2 * start))
+        asked, turn = np.nonzero(
+            (reach[:, start:stop] >= floors[:, None]) & (reach[:, start:stop] > -np.inf)
+        )
+        if not len(asked):
             break
-        if node.children:
-            for child in node.children:
-                reach = bound(child)
-                if reach >= floor:
-                    heapq.heappush(queue, (-reach, count, child))
-                    count += 1
-            continue
-        scores = points[node.rows] @ query
-        for i in np.flatnonzero(scores >= floor):
-            ident = int(ids[node.rows[i]])
-            if ident == own:
-                continue
-            entry = (float(scores[i]), -ident)
-            if len(best) < k:
-                heapq.heappush(best, entry)
-            elif entry > best[0]:
-                heapq.heapreplace(best, entry)
-            else:
-                continue
-            if len(best) == k:
-                floor = max(floor, best[0][0])
-    return [(score, -ident) for score, ident in best]
+        at = order[asked, turn + start]
+        by_leaf = np.argsort(at, kind="stable")
+        asked, at = asked[by_leaf], at[by_leaf]
+        found = [(query, row, score)]
+        for one in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+            leaf, who = leaves[at[one[0]]], asked[one]
+            # Of equal vectors only the smallest ids can come.
+            rows = leaf.rows if leaf.radius > 0 else leaf.rows[: k + 1]
+            scores = queries[who] @ points[rows].T
+            hit, place = np.nonzero(
+                (scores >= floors[who][:, None]) & (ids[rows][None] != own[who][:, None])
+            )
+            found.append((who[hit], rows[place], scores[hit, place]))
+        query, row, score = (np.concatenate(x) for x in zip(*found))
+        ranked = np.lexsort((row, -score, query))
+        query, row, score = query[ranked], row[ranked], score[ranked]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        full = place == k - 1
+        floors[query[full]] = np.maximum(floors[query[full]], score[full])
+        kept = place < k
+        query, row, score = query[kept], row[kept], score[kept]
+        start = stop
+    return query, row, score
 
 
 def _search_shard(k: int):
@@ -116,20 +153,17 @@ def _search_shard(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         points = V.matrix(vectors.column("vector"))
         asked = V.matrix(queries.column("query"))
-        rows: list[tuple[int, int, int]] = []
+        found = np.zeros((3, 0), dtype=np.int64)
         if len(points) and len(asked):
             ids = vectors.column("vec_id").to_numpy()
             order = np.argsort(ids)
             points, ids = points[order], ids[order]
-            root = build(points)
-            query_ids = queries.column("query_id").to_pylist()
-            floors = queries.column("floor").to_pylist()
-            for query, own, floor in zip(asked, query_ids, floors):
-                found = search(root, points, ids, query, own, k, floor)
-                rows += [(own, ident, int(score)) for score, ident in found]
-        columns = zip(*rows) if rows else ((), (), ())
+            own = queries.column("query_id").to_numpy()
+            floors = queries.column("floor").to_numpy()
+            query, row, score = search(build(points), points, ids, asked, own, k, floors)
+            found = (own[query], ids[row], score.astype(np.int64))
         names = ("query_id", "vec_id", "score")
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, found)})
 
     return run
 

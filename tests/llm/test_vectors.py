@@ -57,13 +57,26 @@ def test_tree_search_prunes():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 8)) * 50
     points = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(size=(1000, 8)))
+    points[300:420] = points[0]
+    ids, own, k = np.arange(1000), np.arange(0, 1000, 7), 5
     root = ball_tree.build(points)
-    query = points[0]
-    found = ball_tree.search(root, points, np.arange(1000), query, 0, 5, float("-inf"))
-    scores = points @ query
-    order = [i for i in np.lexsort((np.arange(1000), -scores)) if i != 0][:5]
-    assert sorted(found, key=lambda f: (-f[0], f[1])) == [(scores[i], i) for i in order]
-    assert ball_tree.search(root, points, np.arange(1000), query, 0, 5, scores.max() + 1) == []
+    scores = points[own] @ points.T
+    want = {
+        int(q): [i for i in np.lexsort((ids, -scores[j])) if i != q][:k] for j, q in enumerate(own)
+    }
+    for floors in (np.full(len(own), -np.inf), np.sort(scores, axis=1)[:, -3]):
+        query, row, score = ball_tree.search(root, points, ids, points[own], own, k, floors)
+        assert (score == scores[query, row]).all()
+        for j, q in enumerate(own):
+            best = [i for i in want[int(q)] if scores[j, i] >= floors[j]]
+            assert row[query == j].tolist() == best
+    leaves, bounds = ball_tree.leaf_bounds(root, points[own], np.sort(scores, axis=1)[:, -3])
+    assert np.isinf(bounds).mean() > 0.5  # most leaves aren't come to
+    for j, leaf in enumerate(leaves):
+        met = bounds[:, j] > -np.inf
+        assert (scores[met][:, leaf.rows].max(axis=1) <= bounds[met, j]).all()
+    above = scores.max(axis=1) + 1
+    assert len(ball_tree.search(root, points, ids, points[own], own, k, above)[0]) == 0
 
 
 def test_recall(spark, monkeypatch):
