@@ -242,9 +242,12 @@ class Restorer:
 
     def words(self, token: str) -> list[str]:
         """Words of a token in lower case, with what an odd token may stand for."""
-        found = _WORD.findall(token)
         core = token.strip(_EDGES).rstrip("!" + _EDGES)
-        if core and self.odd(core):
+        if core.isascii() and core.isalpha():  # most tokens: one word between marks
+            found, odd = [core], _TRIPLE.search(core)
+        else:
+            found, odd = _WORD.findall(token), core and self.odd(core)
+        if odd:
             found += _WORD.findall(self.spot(core))
         return found
 
@@ -293,11 +296,15 @@ class WordScorer:
 
     def __init__(self, weights: dict[str, float], prior: float):
         self.weights, self.prior = weights, prior
+        # Words that begin otherwise have none of the features.
+        self.heads = {f[: PREFIXES.start] for f in weights}
         self.kept: dict[str, float] = {}
         self.tokens: dict[str, float] = {}
         self.strong: dict[str, dict[str, float]] = {}
 
     def weight(self, word: str) -> float:
+        if word[: PREFIXES.start] not in self.heads:
+            return 0.0
         found = self.kept.get(word)
         if found is None:
             if len(self.kept) > KEPT_WORDS:
@@ -314,9 +321,10 @@ class WordScorer:
             if len(self.tokens) > KEPT_WORDS:
                 self.tokens.clear()
                 self.strong.clear()
-            weights = {w: self.weight(w) for w in restorer.words(token)}
-            found = self.tokens[token] = max(weights.values(), default=-1.0)
+            words = restorer.words(token)
+            found = self.tokens[token] = max(map(self.weight, words), default=-1.0)
             if found >= 0.5:
+                weights = {w: self.weight(w) for w in words}
                 self.strong[token] = {w: x for w, x in weights.items() if x >= 0.5}
         return found
 
