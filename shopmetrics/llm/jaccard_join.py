@@ -13,10 +13,13 @@ goes without the weakest ones (of fewest elements) and no link is lost.
 Equal sets are collapsed first. Rows of a signature shared by several sets
 are met in one sorted pass, which links each set to the smallest one (the
 pivot): as many candidates as rows, also for a signature with very many sets.
-Verified links give components; only signatures that still hold several
-components are searched for further links, between sets of different
-components whose 256-bit parity sketches (a lower bound of the difference) do
-not exclude a link. All candidates are verified on the full sets.
+Verified links give components. Signatures that still hold several components
+are met again, now with a set drawn by a hash of the signature: a large group of
+near copies thus meets many of its sets and grows together, still with as many
+candidates as rows. What signatures are then left with several components are
+searched for further links, between sets of different components whose 256-bit
+parity sketches (a lower bound of the difference) do not exclude a link. All
+candidates are verified on the full sets.
 
 Defined cases: a null text, an empty one or one without words has an empty set
 and is linked with nothing. With fewer words than a shingle, the whole
@@ -351,6 +354,43 @@ def _verified(
     return pairs.join(a, "a").join(b, "b").where(both * den >= union * num).select("a", "b")
 
 
+def _open_rows(shared: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows, with roots and sketches, of the signatures that hold several components."""
+    labelled = (
+        shared.select("sign", "set_id")
+        .join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
+        .select("sign", "set_id", F.coalesce("root", "set_id").alias("root"))
+    )
+    mixed = (
+        labelled.groupBy("sign")
+        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        .where("lo <> hi")
+        .select("sign")
+    )
+    return stage_and_release(
+        labelled.join(mixed, "sign", "left_semi").distinct().join(sketches, "set_id"),
+        "open-signatures",
+    )
+
+
+def _hashed_pivots(near: DataFrame) -> DataFrame:
+    """One set of each signature, by a hash of both: seldom the same for two signatures."""
+    row = F.struct(F.xxhash64("sign", "set_id"), *(c for c in near.columns if c != "sign"))
+    return near.groupBy("sign").agg(F.min(row).alias("row")).select("sign", "row.*")
+
+
+def _side(near: DataFrame, name: str) -> DataFrame:
+    return near.select("sign", *(F.col(c).alias(f"{name}_{c}") for c in near.columns if c != "sign"))
+
+
+def _linked_pairs(left: DataFrame, right: DataFrame, num: int, den: int, *also) -> DataFrame:
+    """Pairs of a signature from different components that sketches don't exclude."""
+    pairs = left.join(right, "sign").where(F.col("a_root") != F.col("b_root"))
+    for condition in (*also, _may_link(num, den)):
+        pairs = pairs.where(condition)
+    return pairs.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).distinct()
+
+
 def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
@@ -397,36 +437,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
         "sets",
     )
     links = stage_and_release(_verified(pairs, met, grams, num, den), "links")
-    roots = components(links)
-    labelled = (
-        shared.select("sign", "set_id")
-        .join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")
-        .select("sign", "set_id", F.coalesce("root", "set_id").alias("root"))
-    )
-    mixed = (
-        labelled.groupBy("sign")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .where("lo <> hi")
-        .select("sign")
-    )
-    open_rows = stage_and_release(
-        labelled.join(mixed, "sign", "left_semi")
-        .distinct()
-        .join(met.drop("doc_id", "wide"), "set_id"),
-        "open-signatures",
-    )
-
-    def side(name: str) -> DataFrame:
-        columns = ["set_id", "root", *sketches]
-        return open_rows.select("sign", *(F.col(c).alias(f"{name}_{c}") for c in columns))
-
-    further = (
-        side("a")
-        .join(side("b"), "sign")
-        .where((F.col("a_set_id") < F.col("b_set_id")) & (F.col("a_root") != F.col("b_root")))
-        .where(_may_link(num, den))
-        .select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
-        .distinct()
+    near = _open_rows(shared, met.drop("doc_id", "wide"), components(links))
+    further = _linked_pairs(_side(near, "a"), _side(_hashed_pivots(near), "b"), num, den)
+    found = stage_and_release(_verified(further, met, grams, num, den), "links")
+    links = stage_and_release(links.unionByName(found), "links")
+    near = _open_rows(shared, met.drop("doc_id", "wide"), components(links))
+    further = _linked_pairs(
+        _side(near, "a"), _side(near, "b"), num, den, F.col("a_set_id") < F.col("b_set_id")
     )
     links = links.unionByName(stage_and_release(_verified(further, met, grams, num, den), "links"))
     roots = components(links).withColumnRenamed("id", "set_id")
