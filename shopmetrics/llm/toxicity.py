@@ -5,7 +5,8 @@ swaps letters for look-alike digits and signs, repeats them, and puts spaces
 or marks between them. Spots that look so (signs or digits among letters, a
 letter three times in a row, several single letters in a row) become lattices
 of possible letters; Viterbi decoding finds the most likely sequence under the
-channel and a character language model. The rest of a text stands as it is.
+channel and a character language model, for spots of any length (time and memory
+are linear in it). The rest of a text stands as it is.
 The restored text is scored, and so is the text seen when a classifier is
 fitted.
 
@@ -60,6 +61,8 @@ PREFIXES = range(4, 9)
 TABLE_BITS = 18
 ORDER = 4
 KEPT_WORDS = 300_000
+# Letters of the spots whose restored texts a task keeps.
+KEPT_LETTERS = 5_000_000
 
 # What a sign may stand for. Fixed values.
 LOOKALIKES = {
@@ -104,8 +107,6 @@ _STRANGE = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|[{_S
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
 _EDGES = "\"'.,;:?)]}»”’“«([{"
-# A token that stands for more than this many letters is no word; it is only cut into words.
-LONGEST_LATTICE = 32
 
 # Channel costs, as log probabilities.
 KEEP, SWAP, DROP_REPEAT, KEEP_REPEAT, DROP_GAP, KEEP_GAP = 0.0, -1.0, -0.5, -2.0, -0.5, -0.7
@@ -178,6 +179,7 @@ class Restorer:
     def __post_init__(self) -> None:
         self.memo: dict[str, float] = {}
         self.known: dict[str, str] = {}
+        self.letters = 0  # of the spots in known
 
     def lattice(self, seen: str) -> list[list[tuple[str, float]]]:
         """For each place the texts it may stand for, with channel costs."""
@@ -206,35 +208,47 @@ class Restorer:
     def decode(self, seen: str) -> str:
         """Viterbi: the best text, by the last ORDER - 1 letters as the state."""
         start = " " * (ORDER - 1)
-        states: dict[str, tuple[float, str]] = {start: (0.0, "")}
+        scores = {start: 0.0}
+        back: list[dict[str, tuple[str, str]]] = []  # for each place the state before, and the letter
         for options in self.lattice(seen):
-            after: dict[str, tuple[float, str]] = {}
-            for state, (score, text) in states.items():
+            after: dict[str, float] = {}
+            steps: dict[str, tuple[str, str]] = {}
+            for state, score in scores.items():
                 for letter, channel in options:
                     total, now = score + channel, state
                     if letter and not (letter == " " and state.endswith(" ")):
                         total += self.model.cost(state, letter, self.memo)
                         now = (state + letter)[1:] if letter != " " else start
-                    if now not in after or after[now][0] < total:
-                        after[now] = (total, text + letter)
-            states = after
-        ends = (
-            (score + self.model.cost(state, " ", self.memo), text)
-            for state, (score, text) in states.items()
-        )
-        if len(self.memo) > KEPT_WORDS:
-            self.memo.clear()
-        return max(ends)[1]
+                    if now not in after or after[now] < total:
+                        after[now] = total
+                        steps[now] = state, letter
+            scores = after
+            back.append(steps)
+            if len(self.memo) > KEPT_WORDS:
+                self.memo.clear()
+        ends = {s: score + self.model.cost(s, " ", self.memo) for s, score in scores.items()}
+        best = max(ends.values())
+        return max(self.read(back, s) for s, score in ends.items() if score == best)
+
+    @staticmethod
+    def read(back: list[dict[str, tuple[str, str]]], state: str) -> str:
+        """The text of the best path to a last state."""
+        letters = []
+        for steps in reversed(back):
+            state, letter = steps[state]
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def spot(self, seen: str) -> str:
-        """A spot as it reads once restored."""
-        if len(seen) > LONGEST_LATTICE:
-            return seen
+        """A spot of any length as it reads once restored."""
         found = self.known.get(seen)
         if found is None:
-            if len(self.known) > KEPT_WORDS:
+            found = self.decode(seen)
+            self.letters += len(seen)
+            if self.letters > KEPT_LETTERS:
                 self.known.clear()
-            found = self.known[seen] = self.decode(seen)
+                self.letters = len(seen)
+            self.known[seen] = found
         return found
 
     def odd(self, token: str) -> bool:
@@ -263,14 +277,10 @@ class Restorer:
         return found
 
     def singles(self, run: str) -> str:
-        """A run of single letters, decoded in parts of bounded length."""
+        """A run of single letters, decoded as a whole."""
         letters = run.split()
-        parts = [
-            " ".join(letters[i : i + LONGEST_LATTICE // 2])
-            for i in range(0, len(letters), LONGEST_LATTICE // 2)
-        ]
         # A word of one letter may stand before the spaced one.
-        parts += [p[2:] for p in parts if len(p) > 6]
+        parts = [" ".join(letters), " ".join(letters[1:])] if len(letters) > 3 else [" ".join(letters)]
         return " ".join(self.spot(p) for p in parts if _LETTER.search(p))
 
 

@@ -31,6 +31,23 @@ def test_restores(restorer, seen, word):
     assert word in {w for t in tokens for w in restorer.words(t)}
 
 
+@pytest.mark.parametrize(
+    "seen,word",
+    [("l" + 40 * "o" + "ser", "loser"), ("/".join(["m0ron", "st*pid", "idi0t"] * 4), "idiot"),
+     (" ".join("theotherpeopleofthehouseandthestupidloser"), "stupid")],
+)
+def test_restores_long_spots(restorer, seen, word):
+    assert len(seen) > 40
+    tokens = restorer.tokens(f"so {seen} they", True)
+    assert word in {w for t in tokens for w in restorer.words(t)}
+
+
+def test_long_spots_take_linear_time(restorer):
+    rng = random.Random(0)
+    seen = "".join(rng.choice("aeiost150$*.-") for _ in range(20_000))
+    assert len(restorer.decode(seen)) > 5_000
+
+
 def test_plain_words_stay(restorer):
     tokens = restorer.tokens("The other people, and (some) words.", False)
     words = {w for t in tokens for w in restorer.words(t)}
