@@ -52,9 +52,9 @@ FOLDS = 5
 PRIOR_DOCUMENTS = 4.0
 # Shingle minima by which near copies are told; a group of copies counts as one document.
 SKETCHES = 4
-# Features held by fewer toxic training documents than this number, or than this
-# share of them, are left out.
-LEAST_TOXIC, LEAST_SHARE = 5, 0.01
+# Features held by fewer toxic training documents than this are left out. Copies count as one
+# document; the number is the same for samples of any size.
+LEAST_TOXIC = 5
 # Beginnings of words count as suspicious only if so few of their documents are clean.
 CLEAN_SHARE = 0.01
 PREFIXES = range(4, 9)
@@ -529,7 +529,7 @@ def fit(
         )
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * n.toxic))
+        .where(F.round("toxic", 6) >= LEAST_TOXIC)  # weights are parts of one
         .withColumn(
             "weight",
             F.round(

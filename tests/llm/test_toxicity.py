@@ -119,3 +119,19 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
         {r.doc_id: r.score for r in X.toxicity(docs, x).collect()} for x in (labels, turned)
     )
     assert one == two
+
+
+def test_rare_toxic_words_beside_a_large_group_of_copies(spark):
+    """What few documents hold is learnt, however many toxic near copies there are."""
+    rng = random.Random(1)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage = some(60)
+    texts = [(f"{passage} vile c{i}", 1) for i in range(1500)]
+    texts += [(f"{some(20)} scum {some(20)}", 1) for _ in range(12)]
+    texts += [(f"{some(20)} fine {some(20)}", 0) for _ in range(1500)]
+    rows = [(i, *t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = spark.sparkContext.broadcast(X.character_model(docs))
+    fitted = X.fit(docs.drop("toxic"), docs.drop("text"), model)
+    assert fitted.weights.get("scum", 0.0) >= 0.5
+    assert "fine" not in fitted.weights
