@@ -16,8 +16,8 @@ fitted.
   size (``TABLE_BITS``).
 * The classifier has one weight for each word and each word beginning: the
   share of documents labelled toxic among the training documents that hold it,
-  drawn towards the mean for rare ones; near copies count as one document. A
-  word's weight is the largest of its own and its beginnings'. The score is the
+  drawn towards the mean for rare ones; a group of near copies (linked by
+  ``jaccard_join``) counts as one document. A word's weight is the largest of its own and its beginnings'. The score is the
   chance that any of the suspicious words (weight of at least one half) marks
   the text, else the largest weight met. It is fitted on at most ``fit_documents`` labelled documents, those with
   the smallest hash of their id.
@@ -44,14 +44,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmetrics.llm import words as W
+from shopmetrics.llm.jaccard_join import jaccard_join
 from shopmetrics.sources.staging import stage
 
 FIT_DOCUMENTS = 20_000
 FOLDS = 5
 # Drawing of rare words towards the mean, as a number of documents.
 PRIOR_DOCUMENTS = 4.0
-# Shingle minima by which near copies are told; a group of copies counts as one document.
-SKETCHES = 4
+# Near copies are linked by shingles of so many words and a similarity of at least (num, den);
+# a group of linked copies counts as one document.
+COPY_WORDS, COPY_SIMILARITY = 5, (80, 100)
 # Features held by fewer toxic training documents than this are left out. Copies count as one
 # document; the number is the same for samples of any size.
 LEAST_TOXIC = 5
@@ -451,39 +453,16 @@ def _document_features(shared):
     return run
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map task: the smallest shingle hash of each text under each of SKETCHES mixes."""
-    for batch in batches:
-        for row, found in W.slices(batch.column(1), lower=True):
-            n = len(found.hashes)
-            at = np.arange(n)
-            grams = W.Runs(found.hashes).of(at, np.minimum(at + 3, n))
-            filled = found.counts > 0
-            keys = np.zeros((len(filled), SKETCHES), dtype=np.uint64)
-            for j in range(SKETCHES):
-                mixed = W.mix(grams ^ np.uint64(j << 8 | 1))
-                if n:
-                    keys[filled, j] = np.minimum.reduceat(mixed, found.first[:-1][filled])
-            yield pa.RecordBatch.from_pydict(
-                {"document": batch.column(0).slice(row, len(filled))}
-                | {f"k{j}": pa.array(W.signed(np.ascontiguousarray(keys[:, j]))) for j in range(SKETCHES)}
-            )
-
-
 def _weighted(sample: DataFrame) -> DataFrame:
-    """Documents with a weight: one part in the number of near copies in the sample."""
-    names = [f"k{j}" for j in range(SKETCHES)]
-    sketches = stage(
-        sample.select("document", "text").mapInArrow(
-            _sketches, "document long, " + ", ".join(f"{k} long" for k in names)
-        ),
-        "fit-sketches",
+    """Documents with a weight: one part in the number of their group of near copies."""
+    groups = stage(
+        jaccard_join(
+            sample.select(F.col("document").alias("doc_id"), "text"), COPY_WORDS, *COPY_SIMILARITY
+        ).select(F.col("doc_id").alias("document"), "component_id"),
+        "fit-copies",
     )
-    for k in names:
-        sizes = sketches.groupBy(k).agg(F.count("*").alias(f"n_{k}"))
-        sketches = sketches.join(sizes, k)
-    copies = F.greatest(*(F.col(f"n_{k}") for k in names))
-    return sample.join(sketches.select("document", (1 / copies).alias("weight")), "document")
+    sizes = groups.groupBy("component_id").agg((1 / F.count("*")).alias("weight"))
+    return sample.join(groups.join(sizes, "component_id").select("document", "weight"), "document")
 
 
 def held_out(doc_id: str = "doc_id"):

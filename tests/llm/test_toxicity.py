@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
+import brute
 import pytest
 from conftest import SMALL_DATA
 from pyspark.sql import functions as F
@@ -135,3 +137,19 @@ def test_rare_toxic_words_beside_a_large_group_of_copies(spark):
     fitted = X.fit(docs.drop("toxic"), docs.drop("text"), model)
     assert fitted.weights.get("scum", 0.0) >= 0.5
     assert "fine" not in fitted.weights
+
+
+def test_weights_of_near_copies(spark):
+    """Only documents linked by five-word shingles at 0.8 share a weight."""
+    rng = random.Random(2)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passage, copied = some(40), some(100)
+    texts = [f"{some(60)} {passage} {some(60)}" for _ in range(300)]  # share a passage only
+    texts += [f"{copied} e{i}" for i in range(20)]
+    texts += ["", "two words", None]
+    sample = spark.createDataFrame(list(enumerate(texts)), "document long, text string")
+    got = {r.document: r.weight for r in X._weighted(sample).collect()}
+    groups = brute.jaccard_components(list(enumerate(texts)), 5, 80, 100)
+    size = Counter(c for _, c in groups.values())
+    assert got == {d: pytest.approx(1 / size[c]) for d, (_, c) in groups.items()}
+    assert got[0] == 1.0 and got[300] == pytest.approx(1 / 20)
