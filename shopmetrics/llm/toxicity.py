@@ -2,13 +2,13 @@
 
 Method (noisy channel). A writer's letters reach us through a channel that
 swaps letters for look-alike digits and signs, repeats them, and puts spaces
-or marks between them. Spots that look so (signs or digits among letters, a
-letter three times in a row, several single letters in a row) become lattices
-of possible letters; Viterbi decoding finds the most likely sequence under the
+or marks between them. Spots that look so (signs or digits beside letters, a
+letter twice in a row, several single letters in a row) become lattices of
+possible letters; Viterbi decoding finds the most likely sequence under the
 channel and a character language model, for spots of any length (time and memory
-are linear in it). The rest of a text stands as it is.
-The restored text is scored, and so is the text seen when a classifier is
-fitted.
+are linear in it). Brackets and exclamation marks at the edges of a token are
+tried as letters, too. The rest of a text stands as it is. The text seen and the
+restored text are scored alike, also when a classifier is fitted.
 
 * The language model has character 4-grams, smoothed with shorter ones, of all
   words of all documents: words are counted over the whole corpus, and each
@@ -104,11 +104,17 @@ INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 _SIGNS = re.escape("".join(LOOKALIKES))
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_STRANGE = re.compile(rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|[{_SIGNS}][^\W\d_]")
+_REPEAT = re.compile(r"([^\W\d_])\1")
+_STRANGE = re.compile(
+    rf"[^\W\d_][{_SIGNS}{re.escape(SEPARATORS)}]+[^\W\d_]|[{_SIGNS}][^\W\d_]|[^\W\d_][{_SIGNS}]"
+)
+_SEPARATED = dict.fromkeys(ord(c) for c in SEPARATORS if c not in LOOKALIKES)
 _SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
 _EDGES = "\"'.,;:?)]}»”’“«([{"
+# Of these some are listed as letters, too; tokens are also tried with them.
+_MARKS = "(!"
+_OTHER_EDGES = _EDGES.replace("(", "")
 
 # Channel costs, as log probabilities.
 KEEP, SWAP, DROP_REPEAT, KEEP_REPEAT, DROP_GAP, KEEP_GAP = 0.0, -1.0, -0.5, -2.0, -0.5, -0.7
@@ -119,10 +125,17 @@ class CharacterModel:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts  # one row for each order, 1 to ORDER
+        self.total = float(counts[0].sum())
 
     @staticmethod
     def slot(gram: str) -> int:
-        return int(slots(np.array([[ord(c) for c in gram]], dtype=np.uint32).T)[0])
+        """The place that ``slots`` gives, without arrays."""
+        value = 0
+        for c in gram:
+            value = (value * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+        value ^= value >> 15
+        value = value * 0x2C1B3C6D & 0xFFFFFFFF
+        return (value ^ value >> 12) & ((1 << TABLE_BITS) - 1)
 
     def cost(self, context: str, letter: str, memo: dict[str, float]) -> float:
         """Log probability of a letter after a context of ORDER - 1 letters."""
@@ -136,7 +149,7 @@ class CharacterModel:
                 total = (
                     float(self.counts[order - 2][self.slot(before)])
                     if order > 1
-                    else float(self.counts[0].sum())
+                    else self.total
                 )
                 share = (seen + 4.0 * share) / (max(total, seen) + 4.0)
             found = memo[key] = math.log(max(share, 1e-9))
@@ -187,6 +200,7 @@ class Restorer:
         """For each place the texts it may stand for, with channel costs."""
         places: list[list[tuple[str, float]]] = []
         run = 0
+        letters = [i for i, c in enumerate(seen) if c.isalpha()] or [0]
         for i, c in enumerate(seen):
             run = run + 1 if i and c == seen[i - 1] else 0
             if c.isspace():
@@ -200,7 +214,8 @@ class Restorer:
                 options = [(x, SWAP) for x in LOOKALIKES.get(c, "")]
                 if run:
                     options.append(("", DROP_REPEAT))
-                if c in SEPARATORS:
+                mark = c == "(" and i < letters[0] or c in _MARKS and i > letters[-1]
+                if c in SEPARATORS or mark:
                     options.append(("", DROP_GAP))
                 if c in SEPARATORS or not options:
                     options.append((" ", KEEP_GAP))
@@ -254,17 +269,23 @@ class Restorer:
         return found
 
     def odd(self, token: str) -> bool:
-        return bool(_TRIPLE.search(token) or _STRANGE.search(token))
+        if _REPEAT.search(token) or _STRANGE.search(token):
+            return True
+        return bool(_STRANGE.search(token.translate(_SEPARATED)))
 
     def words(self, token: str) -> list[str]:
         """Words of a token in lower case, with what an odd token may stand for."""
         core = token.strip(_EDGES).rstrip("!" + _EDGES)
         if core.isascii() and core.isalpha():  # most tokens: one word between marks
-            found, odd = [core], _TRIPLE.search(core)
+            found, odd = [core], _REPEAT.search(core)
         else:
             found, odd = _WORD.findall(token), core and self.odd(core)
         if odd:
             found += _WORD.findall(self.spot(core))
+        if len(core) < len(token):
+            whole = token.strip(_OTHER_EDGES)
+            if len(core) < len(whole) and self.odd(whole):
+                found += _WORD.findall(self.spot(whole))
         return found
 
     def tokens(self, text: str, spaced: bool) -> set[str]:

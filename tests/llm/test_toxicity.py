@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from conftest import SMALL_DATA
 from pyspark.sql import functions as F
@@ -50,6 +51,36 @@ def test_long_spots_take_linear_time(restorer):
     assert len(restorer.decode(seen)) > 5_000
 
 
+@pytest.fixture(scope="module")
+def short_words():
+    words = "ass dumbass kill cunt idiot shit letter the and of house rap music".split()
+    table = X.gram_table(words, np.full(len(words), 6.0))
+    return X.Restorer(X.CharacterModel(table.astype(np.float32)))
+
+
+@pytest.mark.parametrize(
+    "seen,word",
+    [("a$$", "ass"), ("a55", "ass"), ("ki11", "kill"), ("dumba$$,", "dumbass"), ("shi+", "shit"),
+     ("(unt", "cunt"), ("\"(unt\"", "cunt"), ("ki!!", "kill"), ("iddiott", "idiot"),
+     ("iidiot!", "idiot"), ("(a$$)", "ass"), ("a.$.$", "ass"), ("a-5-s", "ass")],
+)
+def test_restores_endings_and_edges(short_words, seen, word):
+    assert word in {w for t in short_words.tokens(f"so {seen} they", False) for w in short_words.words(t)}
+
+
+def test_edges_are_marks_where_words_are_likelier(short_words):
+    tokens = short_words.tokens("(the rap music! letter (rap) and house!!", False)
+    words = {w for t in tokens for w in short_words.words(t)}
+    assert words == {"the", "rap", "music", "letter", "and", "house"}
+
+
+def test_slots():
+    grams = ["a", " th", "ab€c", "  й", "語"]
+    for g in grams:
+        columns = np.array([[ord(c)] for c in g], dtype=np.uint32)
+        assert X.CharacterModel.slot(g) == X.slots(columns)[0]
+
+
 def test_plain_words_stay(restorer):
     tokens = restorer.tokens("The other people, and (some) words.", False)
     words = {w for t in tokens for w in restorer.words(t)}
