@@ -431,6 +431,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     grams = stage_and_release(
         # The met sets grow with the corpus: never broadcast them.
         texts.join(met.select("doc_id").hint("merge"), "doc_id", "left_semi")
+        # A set that only rows without an id hold has none to be found by.
+        .unionByName(texts.where("doc_id is null").dropDuplicates(["text"]))
         .mapInArrow(_sets(size), "set_id long, grams array<long>")
         .join(met.select("set_id"), "set_id", "left_semi")
         .dropDuplicates(["set_id"]),

@@ -116,6 +116,16 @@ def test_jaccard_join_ids(spark):
     assert J.jaccard_join(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_join_null_id_bridges(spark):
+    """A near copy without an id links documents that don't link themselves."""
+    one = [f"w{i}" for i in range(200)]
+    bridge = ["x" if i in (20, 60, 100, 140) else w for i, w in enumerate(one)]
+    two = ["y" if i in (40, 80, 120, 160) else w for i, w in enumerate(bridge)]
+    rows = [(1, " ".join(one)), (None, " ".join(bridge)), (2, " ".join(two))]
+    got = J.jaccard_join(frame(spark, rows), 5, 80, 100).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_signatures_meet():
     """Any two sets within the allowed difference share a signature."""
     import numpy as np
