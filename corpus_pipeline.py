@@ -29,15 +29,36 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles the smallest doc_id.
+    """Of each group of rows linked by five-word shingles the one of smallest doc_id.
 
-    Documents without words and rows without a doc_id stay.
+    Rows of one doc_id are told by a 64-bit hash of doc_id and text, which also decides
+    between them. Rows that repeat doc_id and text count once (of smallest lang, source
+    and n_chars). Documents without words and rows without a doc_id stay.
     """
-    classes = jaccard_join(docs, size=5, num=80, den=100)
+    docs = docs.select(COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    named = docs.where("doc_id is not null")
+    classes = jaccard_join(
+        docs.select(F.col("row").alias("doc_id"), "text"), size=5, num=80, den=100
+    ).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    rows = stage_and_release(
+        classes.distinct().join(named.select("row", "doc_id").distinct(), "row"), "document-rows"
+    )
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     others = stage_and_release(
-        classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates"
+        rows.select("row").join(first.select("first.row"), "row", "left_anti"), "near-duplicates"
+    )
+    again = stage_and_release(
+        named.groupBy("row").count().where("count > 1").select("row"), "repeated-rows"
+    )
+    once = (
+        named.join(again, "row", "left_semi")
+        .join(others, "row", "left_anti")
+        .groupBy("doc_id", "text")
+        .agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+        .select("doc_id", "text", "rest.*")
     )
-    return docs.select(COLUMNS).join(others, "doc_id", "left_anti")
+    rest = docs.join(others.unionByName(again), "row", "left_anti")
+    return rest.select(COLUMNS).unionByName(once.select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,18 @@ def test_near_duplicates(spark):
     assert got == {d for d, (_, c) in want.items() if c == d} == {0, 3, 5, 6, 7}
 
 
+def test_near_duplicates_by_row(spark):
+    """Repeated rows stay once; rows that share a doc_id are decided one by one."""
+    base = " ".join(f"w{i}" for i in range(100))
+    clean = " ".join(f"c{i}" for i in range(100))
+    rows = [(1, base, "en"), (1, base, "de"), (2, base + " x", "en"), (2, clean, "en"),
+            (3, "", "en"), (None, base, "en"), (None, base, "en")]
+    docs = spark.createDataFrame([(i, t, g, "s", 1) for i, t, g in rows], DOCS)
+    got = [(r.doc_id or 0, r.text, r.lang) for r in P.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(0, base, "en"), (0, base, "en"), (1, base, "de"), (2, clean, "en"), (3, "", "en")]
+    assert sorted(got) == want
+
+
 def test_repeats(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     texts = ["one\n " + passage, passage + " two", "three  words\nstay", None]
