@@ -14,6 +14,8 @@ from shopmetrics.llm.jaccard_join import jaccard_join
 from shopmetrics.llm.mixing import mix
 from shopmetrics.llm.multi_index import nearest
 from shopmetrics.llm.packing import pack_documents
+from shopmetrics.llm.positional_index import decontaminate
+from shopmetrics.llm.resampling import importance_resample
 from shopmetrics.llm.substring_dedup import substring_dedup
 from shopmetrics.llm.tokens import default_path
 from shopmetrics.llm.toxicity import toxicity
@@ -85,6 +87,22 @@ def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_embeddings(spark, sf_dir), every=20, k=20)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance_resample(
+        _documents(spark, sf_dir), target, most_terms=1, buckets=10_000, least_words=20,
+        percent=10, seed="2024",
+    ).drop("n_words")
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate(_documents(spark, sf_dir), items, size=10).select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -96,5 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_ball_tree": op10_ball_tree,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_decontamination": op13_decontamination,
 }
 ORACLE_SQL: dict[str, str] = dict(sql.QUERIES)

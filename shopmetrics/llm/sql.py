@@ -122,10 +122,103 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+# CRC-32 byte by byte from a table of 256 entries; each distinct word once.
+IMPORTANCE_RESAMPLING = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS b))
+), all_texts AS (
+  SELECT 'd' AS side, doc_id, text FROM documents
+  UNION ALL SELECT 'b', NULL, text FROM benchmark
+), worded AS (
+  SELECT side, doc_id, row_number() OVER () AS r, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM all_texts
+), words AS (
+  SELECT side, r, unnest(w) AS word FROM worded
+), coded AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(range(CAST(length(h) // 2 AS BIGINT)),
+      lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, list_extract(t, xor(c & 255, x) + 1))), 4294967295) % 10000 AS bucket
+  FROM coded, crc_table
+), features AS (
+  SELECT side, r, bucket FROM words JOIN hashed USING (word)
+), counts AS (
+  SELECT bucket, CAST(count(*) FILTER (WHERE side = 'd') AS DOUBLE) AS s,
+    CAST(count(*) FILTER (WHERE side = 'b') AS DOUBLE) AS t
+  FROM features GROUP BY bucket
+), sums AS (
+  SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS BIGINT)
+    AS gain
+  FROM counts, sums
+), weights AS (
+  SELECT r, sum(gain) AS weight FROM features JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r
+), scored AS (
+  SELECT doc_id, r, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM worded LEFT JOIN weights USING (r) WHERE side = 'd'
+), rated AS (
+  SELECT doc_id, r, n_features, weight,
+    weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM scored
+), placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features DESC) AS place,
+    count(*) OVER () AS n
+  FROM rated WHERE n_features >= 20 AND score IS NOT NULL
+)
+SELECT doc_id, n_features, weight, score, CAST(place AS BIGINT) AS rank
+FROM rated LEFT JOIN (SELECT r, place FROM placed WHERE place <= 10 * n // 100) USING (r)
+"""
+
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, len(g) AS size, array_to_string(g, ' ') AS g FROM (
+    SELECT item, list_slice(w, s, s + 9) AS g
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM i WHERE len(w) > 0))
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), grams AS (
+  SELECT r, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS g
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)
+), found AS (
+  SELECT r, s, grams.size, item FROM grams JOIN windows USING (g)
+), hits AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS p FROM found)
+  GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+
 QUERIES = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op2_jaccard_join": JACCARD_JOIN,
     "op5_warc": WARC,
     "op9_chat_snapshots": CHAT_SNAPSHOTS,
     "op10_ball_tree": EXACT_TOP_K,
+    "op12_importance_resampling": IMPORTANCE_RESAMPLING,
+    "op13_decontamination": DECONTAMINATION,
 }
