@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import sql
+from shopmetrics.llm.alignment import align_documents
 from shopmetrics.llm.ball_tree import exact_top_k
 from shopmetrics.llm.chat import format_chats
 from shopmetrics.llm.jaccard_join import jaccard_join
@@ -87,6 +88,12 @@ def op10_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_embeddings(spark, sf_dir), every=20, k=20)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(
+        _documents(spark, sf_dir), default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model")
+    )
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return importance_resample(
@@ -114,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_chat_snapshots": op9_chat_snapshots,
     "op10_ball_tree": op10_ball_tree,
+    "op11_alignment": op11_alignment,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_decontamination": op13_decontamination,
 }

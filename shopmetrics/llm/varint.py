@@ -40,6 +40,8 @@ def unpack_lists(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offset_buffer, dtype=np.int64)[packed.offset :][: len(packed) + 1]
     data = np.frombuffer(data_buffer, dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, dtype=np.int64), np.zeros(len(packed), dtype=np.int64)
     last = np.flatnonzero(data < 128)
     first = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(data)) - np.repeat(first, last - first + 1)

@@ -68,6 +68,6 @@ def test_sql(spark, name):
 
 
 def test_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     found = entry.queries()
     assert all(sum(q.startswith(n) for q in found) == 1 for n in names) and "pipeline" in found
