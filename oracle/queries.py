@@ -132,6 +132,49 @@ SILHOUETTE = """
                 FROM labelled x, labelled y GROUP BY ALL)
           GROUP BY product_id)"""
 
+FEATURES = [f"{n}_scaled" for n in ("price", "rating", "units_sold", "discount_ratio")]
+
+
+def _between(a: str, b: str) -> str:
+    return " + ".join(f"power({a}.{n} - {b}.{n}, 2)" for n in FEATURES)
+
+
+def fixed_starts() -> str:
+    """Centres moved to the means of their points, step by step, and their silhouettes."""
+    names = ", ".join(FEATURES)
+    values = ", ".join(
+        f"({k}, {i}, {', '.join(f'{v}::DOUBLE' for v in at)})"
+        for k in C.FIXED_SIZES for i, at in C.FIXED_CENTRES[:k]
+    )
+    ctes = {"points": f"SELECT row_number() OVER () AS r, {names} FROM scored"}
+    ctes["c0"] = f"SELECT * FROM (VALUES {values}) AS t(k, i, {names})"
+    for step in range(C.FIXED_MOVES + 1):
+        ctes[f"a{step}"] = f"""
+            SELECT r, k, {names}, (best).i AS i, (best).d AS d FROM points JOIN (
+              SELECT r, c.k, min({{'d': {_between("p", "c")}, 'i': c.i}}) AS best
+              FROM points p, c{step} c GROUP BY r, c.k) USING (r)"""
+        ctes[f"c{step + 1}"] = f"""
+            SELECT c.k, c.i, {", ".join(f"coalesce(avg(a.{n}), any_value(c.{n})) AS {n}" for n in FEATURES)}
+            FROM c{step} c LEFT JOIN a{step} a ON a.k = c.k AND a.i = c.i GROUP BY c.k, c.i"""
+    last = f"a{C.FIXED_MOVES}"
+    norm = " + ".join(f"a.{n} * a.{n}" for n in FEATURES)
+    dot = " + ".join(f"a.{n} * s.{n}" for n in FEATURES)
+    ctes["sums"] = f"""
+        SELECT k, i, count(*) AS n, sum({norm}) AS q, {", ".join(f"sum({n}) AS {n}" for n in FEATURES)}
+        FROM {last} a GROUP BY k, i"""
+    ctes["means"] = f"""
+        SELECT a.k, a.r,
+          min(CASE WHEN a.i = s.i THEN (s.n * ({norm}) - 2 * ({dot}) + s.q) / (s.n - 1) END) AS inside,
+          min(CASE WHEN a.i <> s.i THEN (s.n * ({norm}) - 2 * ({dot}) + s.q) / s.n END) AS outside
+        FROM {last} a JOIN sums s ON s.k = a.k GROUP BY a.k, a.r"""
+    body = f"""
+        SELECT k::INTEGER AS k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette
+        FROM (SELECT k, sum(d) AS inertia FROM {last} GROUP BY k)
+        JOIN (SELECT k, avg((outside - inside) / greatest(outside, inside)) AS silhouette
+              FROM means GROUP BY k) USING (k)"""
+    return build(body, "scored", extra=ctes)
+
+
 K = C.N_SEGMENTS
 
 
@@ -471,6 +514,7 @@ def oracle_queries() -> dict[str, str]:
                       round(avg(value_score), 6) AS mean_score FROM scored""",
             "scored",
         ),
+        "m4_fixed_starts": fixed_starts(),
         "m5_silhouette": build(SILHOUETTE, "labelled", k=K),
         "m7_assign_segments": build(
             f"SELECT product_id, {_nearest()} AS segment FROM scored", "scored"

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from shopmetrics import fixed_values as V
+from shopmetrics.operators import kmeans
+from shopmetrics.operators.kmeans import Model
 from shopmetrics.operators.score import scale_features
 from shopmetrics.schema import FEATURES, SCALED_FEATURES, require_columns
 
 K_MIN, K_MAX = 2, 8
 RESTARTS = 10
 SEED = 42
-MAX_ITERATIONS = 300
-PARALLEL_FITS = 8
 CENTRE_COLUMNS = ["segment", *SCALED_FEATURES]
 
 
@@ -103,76 +98,23 @@ def assign_segments(df: DataFrame, centres: list[tuple[int, list[float]]]) -> Da
 # --- fitting ------------------------------------------------------------------
 
 
-def _feature_table(df: DataFrame) -> DataFrame:
-    if SCALED_FEATURES[0] not in df.columns:
-        df = scale_features(df)
-    assembler = VectorAssembler(inputCols=SCALED_FEATURES, outputCol="features")
-    return assembler.transform(df).select("features", *SCALED_FEATURES)
-
-
-def _fit(features: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(
-        k=k,
-        seed=seed,
-        featuresCol="features",
-        predictionCol="segment",
-        initMode="k-means||",
-        maxIter=MAX_ITERATIONS,
-    ).fit(features)
-
-
-def _best_models(
-    features: DataFrame, ks: list[int], seed: int, restarts: int
-) -> dict[int, KMeansModel]:
-    """Model of least cost over the restarts, per k. Failing fits are skipped.
-
-    The fits are independent Spark jobs over one cached feature table.
-    """
-
-    def attempt(task: tuple[int, int]) -> tuple[int, float, KMeansModel] | None:
-        k, restart = task
-        try:
-            model = _fit(features, k, seed + restart)
-        except Exception:  # noqa: BLE001 - a k that cannot be fitted is left out
-            return None
-        return k, model.summary.trainingCost, model
-
-    tasks = [(k, restart) for k in ks for restart in range(restarts)]
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        done = [result for result in pool.map(attempt, tasks) if result]
-    best: dict[int, KMeansModel] = {}
-    costs: dict[int, float] = {}
-    for k, cost, model in done:
-        if k not in costs or cost < costs[k]:
-            costs[k], best[k] = cost, model
-    return best
-
-
-def _centres(model: KMeansModel) -> list[tuple[int, list[float]]]:
-    return [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+def _centres(model: Model) -> list[tuple[int, list[float]]]:
+    return [(i, [float(v) for v in c]) for i, c in enumerate(model.centres)]
 
 
 def _k_rows(
     df: DataFrame, k_min: int, k_max: int, seed: int, restarts: int
-) -> tuple[list[tuple], dict[int, KMeansModel]]:
-    features = _feature_table(df).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_rows = features.count()
-        k_max = min(k_max, n_rows - 1)
-        if k_max < k_min:
-            raise ValueError(f"{n_rows} products are too few for k from {k_min}")
-        models = _best_models(features, list(range(k_min, k_max + 1)), seed, restarts)
-
-        def row(k: int) -> tuple:
-            labelled = assign_segments(features, _centres(models[k]))
-            score = silhouette(labelled).first()["silhouette"]
-            return k, float(models[k].summary.trainingCost), score
-
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            rows = list(pool.map(row, sorted(models)))
-    finally:
-        features.unpersist()
-    return rows, models
+) -> tuple[list[tuple], dict[int, Model]]:
+    n_rows = df.count()
+    k_max = min(k_max, n_rows - 1)
+    if k_max < k_min:
+        raise ValueError(f"{n_rows} products are too few for k from {k_min}")
+    points, models = kmeans.best_models(df, list(range(k_min, k_max + 1)), seed, restarts)
+    if not models:
+        raise ValueError(f"fewer than {k_min} different products: no k is possible")
+    ordered = [models[k] for k in sorted(models)]
+    scores = kmeans.silhouettes(points, ordered)
+    return [(m.k, m.cost, score) for m, score in zip(ordered, scores)], models
 
 
 def _best_k(rows: list[tuple]) -> int:
@@ -186,7 +128,11 @@ def k_table(
     seed: int = SEED,
     restarts: int = RESTARTS,
 ) -> DataFrame:
-    """Inertia and silhouette for every feasible k; ``best`` marks the choice."""
+    """Inertia and silhouette for every feasible k; ``best`` marks the choice.
+
+    A k is feasible below the number of products and up to that of different
+    feature rows. Of ``restarts`` fits of each k the one of least inertia counts.
+    """
     rows, _ = _k_rows(df, k_min, k_max, seed, restarts)
     best = _best_k(rows)
     return df.sparkSession.createDataFrame(
@@ -195,6 +141,18 @@ def k_table(
     )
 
 
+def k_table_from_starts(
+    df: DataFrame, starts: list[list[list[float]]], passes: int
+) -> DataFrame:
+    """Like ``k_table``, of given centres (one list for each model) moved so many times."""
+    points, models = kmeans.from_starts(df, starts, passes)
+    scores = kmeans.silhouettes(points, models)
+    return df.sparkSession.createDataFrame(
+        [(m.k, m.cost, score) for m, score in zip(models, scores)],
+        "k int, inertia double, silhouette double",
+    )
+
+
 def segment_products(
     df: DataFrame,
     k: int | None = None,
@@ -213,13 +171,9 @@ def segment_products(
         rows, models = _k_rows(df, K_MIN, K_MAX, seed, restarts)
         model = models[_best_k(rows)]
     else:
-        features = _feature_table(df).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            models = _best_models(features, [k], seed, restarts)
-        finally:
-            features.unpersist()
+        _, models = kmeans.best_models(df, [k], seed, restarts)
         if k not in models:
-            raise ValueError(f"no segmentation with k={k} could be fitted")
+            raise ValueError(f"fewer than {k} different products: k={k} is not possible")
         model = models[k]
     labelled = assign_segments(df, _centres(model))
     means = (

@@ -43,6 +43,8 @@ FIXED_CENTRES = [
     (2, [0.9, 0.3, 0.5, 0.2]),
     (3, [0.5, 0.9, 0.9, 0.9]),
 ]
+FIXED_SIZES = (2, 3, 4)
+FIXED_MOVES = 5
 
 _built: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -503,6 +505,12 @@ def m4_k_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.k_table(scored(spark, sf_dir))
 
 
+def m4_fixed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fit from stated centres and for a stated number of moves."""
+    starts = [[at for _, at in FIXED_CENTRES[:k]] for k in FIXED_SIZES]
+    return rounded(segments.k_table_from_starts(scored(spark, sf_dir), starts, FIXED_MOVES))
+
+
 def m5_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segments.silhouette(labelled(spark, sf_dir)))
 
@@ -697,6 +705,7 @@ QUERIES: dict[str, Query] = {
     "m3_top_by_score": m3_top_by_score,
     "m3_score_range": m3_score_range,
     "m4_k_table": m4_k_table,
+    "m4_fixed_starts": m4_fixed_starts,
     "m5_silhouette": m5_silhouette,
     "m6_segment_products": m6_segment_products,
     "m7_assign_segments": m7_assign_segments,

@@ -5,11 +5,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from shopmetrics.operators import ranking
 from shopmetrics.operators.ranking import (
     average_rank,
     distinct_counts,
     exact_quantiles,
     value_bucket,
+    value_part,
     with_prefix,
 )
 
@@ -52,11 +54,40 @@ def test_quantiles_match_numpy(tied):
     assert list(row) == pytest.approx(list(np.quantile(pdf.v, list(wanted.values()))))
 
 
-def test_buckets_never_decrease(spark):
-    values = sorted([-1e300, -5.5, -1e-9, 0.0, 1e-12, 0.1, 0.5, 1, 2, 99.99, 100, 1e9, 1e300])
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    buckets = [r.b for r in df.orderBy("v").select(value_bucket(F.col("v")).alias("b")).collect()]
-    assert buckets == sorted(buckets)
+def test_buckets_and_parts_never_decrease(spark):
+    rng = np.random.default_rng(3)
+    powers = 2.0 ** np.arange(-1074, 1024, 7)
+    near = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf)])
+    plain = np.concatenate([near, rng.random(500), rng.random(500) / 1000, 1e-300 * rng.random(50), [0.0]])
+    values = np.unique(np.concatenate([plain, -plain, [np.inf, -np.inf]]))
+    df = spark.createDataFrame([(float(v),) for v in [*values, np.nan]], "v double")
+    v = F.col("v")
+    keys = [tuple(r) for r in df.orderBy("v").select(value_bucket(v), value_part(v)).collect()]
+    assert keys == sorted(keys)
+    assert len(set(keys)) > 0.8 * len(values)
+
+
+@pytest.mark.parametrize("full", [0, 3])
+def test_full_buckets_are_split(tied, monkeypatch, full):
+    """The same ranks and quantiles when buckets are split by further bits."""
+    monkeypatch.setattr(ranking, "FULL", full)
+    test_average_rank_matches_pandas(tied)
+    test_quantiles_match_numpy(tied)
+
+
+def test_column_near_zero(spark, monkeypatch):
+    """A ratio between 0 and 0.001: no bucket, and no part of a full one, holds many values."""
+    monkeypatch.setattr(ranking, "FULL", 20)
+    df = spark.range(20_000).select((F.col("id") / 20e6).alias("v"))
+    keys = df.select(value_bucket(F.col("v")).alias("b"), value_part(F.col("v")).alias("p"))
+    assert keys.groupBy("b").count().agg(F.max("count")).first()[0] < 40
+    assert keys.groupBy("b", "p").count().agg(F.max("count")).first()[0] == 1
+    clustered = df.select((F.lit(5.0) + F.col("v") / 1000).alias("v"))  # all in one bucket
+    assert clustered.select(value_bucket(F.col("v"))).distinct().count() == 1
+    placed = with_prefix(distinct_counts(clustered, "v", []), "v").orderBy("v").collect()
+    assert [r.before for r in placed] == list(range(20_000))
+    middle = exact_quantiles(clustered, "v", {"m": 0.5}).first()["m"]
+    assert middle == pytest.approx(5.0 + 9_999.5 / 20e9, abs=1e-13)
 
 
 def test_no_rows(spark):

@@ -88,6 +88,50 @@ def test_more_restarts_never_cost_more(blobs):
     assert many <= few + 1e-9
 
 
+def plain_lloyd(x, centres, moves):
+    for step in range(moves + 1):
+        label = ((x[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        cost = ((x - centres[label]) ** 2).sum()
+        if step < moves:
+            centres = np.array([x[label == i].mean(0) if (label == i).any() else c for i, c in enumerate(centres)])
+    return cost, label
+
+
+def test_moves_from_given_centres(blobs):
+    """Several models in one scan; weights of repeated products; a centre without points stays."""
+    twice = blobs.union(blobs)
+    starts = [[[0.1] * 4, [0.9] * 4], [[0.2] * 4, [0.5] * 4, [9.0] * 4], [[0.3, 0.3, 0.3, 0.4]]]
+    rows = segments.k_table_from_starts(twice, starts, 4).collect()
+    x = twice.select(*SCALED_FEATURES).toPandas().to_numpy()
+    for row, centres in zip(rows, starts):
+        cost, label = plain_lloyd(x, np.array(centres), 4)
+        assert row.k == len(centres) and row.inertia == pytest.approx(cost, rel=1e-9)
+        labelled = twice.sparkSession.createDataFrame(
+            [(int(i), *map(float, v)) for i, v in zip(label, x)],
+            "segment int, " + ", ".join(f"{n} double" for n in SCALED_FEATURES),
+        )
+        want = segments.silhouette(labelled).first().silhouette
+        assert row.silhouette == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_fits_are_as_good_as_separate_ones(blobs):
+    ml = pytest.importorskip("pyspark.ml.clustering")
+    feature = pytest.importorskip("pyspark.ml.feature")
+    table = {r.k: r.inertia for r in segments.k_table(blobs, k_max=4).collect()}
+    vectors = feature.VectorAssembler(inputCols=SCALED_FEATURES, outputCol="features").transform(blobs)
+    for k in (2, 3, 4):
+        fits = [ml.KMeans(k=k, seed=s, maxIter=300).fit(vectors).summary.trainingCost for s in range(42, 46)]
+        assert table[k] <= min(fits) * (1 + 1e-6)
+
+
+def test_fewer_points_than_segments(products):
+    """Equal products are one point: larger sizes are left out."""
+    df = score.value_score(score.scale_features(products([{"price": float(i % 3)} for i in range(12)])))
+    assert [r.k for r in segments.k_table(df, restarts=2).collect()] == [2, 3]
+    with pytest.raises(ValueError):
+        segments.segment_products(df, k=4)
+
+
 def test_silhouette_against_pairs(blobs):
     labelled = blobs.withColumn("segment", F.col("product_id").cast("int") % 4)
     labelled = labelled.withColumn("segment", F.when(F.col("product_id") == "0", 9).otherwise(F.col("segment")))
