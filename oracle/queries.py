@@ -202,6 +202,12 @@ def oracle_queries() -> dict[str, str]:
             "raw",
         ),
         "s6_write_read_products": build(f"SELECT {CLEAN_COLUMNS} FROM products", "products"),
+        "s6_replace_from_itself": build(
+            """SELECT back::INTEGER AS back, count(*) AS n_products, round(max(price), 6) AS max_price,
+                      CAST(sum(units_sold) AS BIGINT) AS units_sold
+               FROM products, (VALUES (0), (1)) AS v(back) WHERE back = 1 OR price < 1000 GROUP BY back""",
+            "products",
+        ),
         "s7_write_outliers": build(
             f"SELECT {CLEAN_COLUMNS} FROM products WHERE price_outlier", "products"
         ),

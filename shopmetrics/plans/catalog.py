@@ -193,6 +193,25 @@ def s6_write_read_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tables.read_products(spark, path))
 
 
+def s6_replace_from_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table replaced by a query over itself, beside the version before."""
+    path = new_path(spark, "replaced-table")
+    tables.write_products(products(spark, sf_dir), path)
+    cheap = tables.read_products(spark, path).where("price < 1000")
+    tables.write_products(cheap, path)
+    versions = [tables.read_products(spark, path, back=b).withColumn("back", F.lit(b)) for b in (0, 1)]
+    return (
+        versions[0]
+        .unionByName(versions[1])
+        .groupBy("back")
+        .agg(
+            F.count(F.lit(1)).alias("n_products"),
+            F.round(F.max("price"), 6).alias("max_price"),
+            F.sum("units_sold").alias("units_sold"),
+        )
+    )
+
+
 def s7_write_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "outliers-csv")
     found = products(spark, sf_dir)
@@ -649,6 +668,7 @@ QUERIES: dict[str, Query] = {
     "s4_read_marketplace_csv": s4_read_marketplace_csv,
     "s5_write_raw": s5_write_raw,
     "s6_write_read_products": s6_write_read_products,
+    "s6_replace_from_itself": s6_replace_from_itself,
     "s7_write_outliers": s7_write_outliers,
     "s8_write_scored": s8_write_scored,
     "s9_write_quality_report": s9_write_quality_report,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopmetrics.sources import csv_records
 from shopmetrics.schema import ARRIVAL, LISTING_FIELDS, listing_page_schema
 
 REQUIRED_RAW_FIELDS = ["id", "name", "price"]
@@ -61,17 +62,15 @@ def read_text_csv(
 ) -> DataFrame:
     """CSV with a header; every column is text, plus the arrival order.
 
-    Quoted values may span lines, which keeps Spark from splitting a file:
-    land large sources as many files, or pass ``multiline=False`` when no value
-    holds a line break.
+    Quoted values may span lines; large files are read by several tasks all the
+    same (``csv_records``). ``multiline=False`` saves the scan that counts quotes
+    where no value holds a line break.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", "UTF-8")
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-    )
+    if multiline:
+        return csv_records.read_records(spark, path, ARRIVAL)
+    reader = spark.read.option("header", True)
+    for name, value in csv_records.OPTIONS.items():
+        reader = reader.option(name, value)
     return reader.csv(path).withColumn(
         ARRIVAL,
         F.struct(

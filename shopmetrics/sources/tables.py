@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from shopmetrics.operators.clean import outliers
 from shopmetrics.operators.stats import quality_report
 from shopmetrics.schema import CLEAN_SCHEMA, order_columns, require_columns
+from shopmetrics.sources.snapshots import read_table, replace_table
 
 _NESTED = (T.StructType, T.ArrayType, T.MapType)
 
@@ -50,14 +51,14 @@ def write_raw(df: DataFrame, csv_path: str, json_path: str) -> bool:
     return True
 
 
-def write_products(df: DataFrame, path: str) -> None:
-    """Replace the product table."""
-    _without_arrival(df).write.mode("overwrite").parquet(path)
+def write_products(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Replace the product table; readers see the old one or the new one, never a part."""
+    replace_table(_without_arrival(df), path, keep)
 
 
-def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """The product table; fails early if it lacks a product column."""
-    df = spark.read.parquet(path)
+def read_products(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
+    """The product table (or a kept version of it); fails early if it lacks a product column."""
+    df = read_table(spark, path, back)
     require_columns(df, CLEAN_SCHEMA.fieldNames())
     return df
 

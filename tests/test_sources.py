@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import csv
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopmetrics.operators.clean import dedup_raw
 from shopmetrics.operators.normalize import normalize_marketplace, normalize_primary
@@ -55,6 +58,63 @@ def test_csv_order_and_quotes(spark, tmp_path):
     assert prices == [0.0, 5.0, 1200.0]
 
 
+def spark_rows(spark, path):
+    """What Spark's own reader gets in one task a file, in order."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    return [tuple(r) for r in reader.csv(path).collect()]
+
+
+def split_rows(spark, path, most_bytes):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", most_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        df = listings.read_text_csv(spark, path)
+        rows = df.orderBy("arrival").collect()
+        return [tuple(r)[:-1] for r in rows], len({r.arrival.block for r in rows})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_quoted_line_breaks_in_many_blocks(spark, tmp_path):
+    """Blocks that begin inside quotes, long records over several blocks, doubled quotes, blank lines."""
+    rng = random.Random(5)
+    pieces = ["a", "b c", '"quoted"', "line\nbreak", '"\n"', "", "\n\n", "x,y", "Áo", "long " * 40, '""', " "]
+    path = tmp_path / "many.csv"
+    with path.open("w", encoding="utf-8", newline="") as file:
+        file.write("\ufeff")
+        writer = csv.writer(file, lineterminator="\n")
+        writer.writerow(["id", "na me", "note\nof two lines"])
+        for i in range(400):
+            writer.writerow([i, "".join(rng.choices(pieces, k=3)), rng.choice(pieces)])
+            if i % 50 == 0:
+                file.write("\n")
+    want = spark_rows(spark, str(path))
+    for size in (64, 700, 5000):
+        rows, blocks = split_rows(spark, str(path), size)
+        assert rows == want and len(rows) == 400
+        assert blocks > path.stat().st_size / size / 4
+    assert listings.read_text_csv(spark, str(path)).columns[:2] == ["id", "na me"]
+
+
+def test_windows_line_ends_and_open_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'id,name\r\n1,"two\r\nlines"\r\n2,b\r\n')
+    assert split_rows(spark, str(tmp_path / "a.csv"), 5)[0] == [("1", "two\r\nlines"), ("2", "b")]
+    (tmp_path / "b.csv").write_text('id,name\n1,a\n2,"never closed\n3,c\n')
+    rows, _ = split_rows(spark, str(tmp_path / "b.csv"), 6)
+    assert rows[0] == ("1", "a") and len(rows) == 2 and rows[1][0] == "2"
+
+
+def test_folder_of_files(spark, tmp_path):
+    """Each file has a header; rows keep the order of files and lines."""
+    for i in range(3):
+        (tmp_path / f"part-{i}.csv").write_text("id,name\n" + "".join(f'{i}{j},"n\n{j}"\n' for j in range(20)))
+    (tmp_path / "part-3.csv").write_text("id,name\n")
+    rows, _ = split_rows(spark, str(tmp_path), 50)
+    assert rows == [(f"{i}{j}", f"n\n{j}") for i in range(3) for j in range(20)]
+
+
 def test_raw_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [("1", 'a "b", c', 2.5, (4,), 0)],
@@ -81,6 +141,32 @@ def test_product_table_is_replaced(spark, products, tmp_path):
         tables.read_products(spark, str(tmp_path / "bad"))
 
 
+def test_failed_replacement_keeps_the_table(spark, products, tmp_path):
+    path = str(tmp_path / "p")
+    tables.write_products(products([{}, {}]), path)
+    reader = tables.read_products(spark, path)
+    broken = products([{"price": float(i)} for i in range(9)]).withColumn(
+        "price", F.when(F.col("price") > 7, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("price"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        tables.write_products(broken, path)
+    assert tables.read_products(spark, path).count() == 2 and reader.count() == 2
+    tables.write_products(tables.read_products(spark, path).union(products([{"price": 5.0}])), path)
+    assert tables.read_products(spark, path).count() == 3
+    assert reader.count() == 2  # begun before the replacement
+    assert tables.read_products(spark, path, back=1).count() == 2
+
+
+def test_versions_are_dropped(spark, products, tmp_path):
+    path = tmp_path / "p"
+    for n in range(1, 5):
+        tables.write_products(products([{}] * n), str(path), keep=2)
+    assert len(list((path / "snapshots").iterdir())) == 2
+    assert [tables.read_products(spark, str(path), back=b).count() for b in (0, 1)] == [4, 3]
+    with pytest.raises(ValueError):
+        tables.read_products(spark, str(path), back=2)
+
+
 def test_outlier_file_only_when_needed(products, tmp_path):
     assert not tables.write_outliers(products([{}]), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
