@@ -175,6 +175,30 @@ def fixed_starts() -> str:
     return build(body, "scored", extra=ctes)
 
 
+# The exact p: every choice of the ranks that the first group could have.
+EXACT_P = """
+    SELECT least(1.0, 2.0 * count(*) FILTER (WHERE u <= least(u_a, u_b)) / count(*)) AS exact
+    FROM (SELECT u_a, u_b, list_sum(list_transform(list_filter(range(n_a + n_b),
+                 lambda i: (mask >> i) & 1 = 1), lambda i: i + 1)) - n_a * (n_a + 1) / 2.0 AS u
+          FROM scores, (SELECT unnest(range(65536)) AS mask)
+          WHERE mask < (1 << (n_a + n_b)) AND bit_count(mask) = n_a)"""
+
+
+def small_groups() -> str:
+    return build(
+        MANN_WHITNEY_BODY.replace(
+            "least(1.0, CASE WHEN", "(SELECT exact FROM exact_p) + 0 * least(1.0, CASE WHEN", 1
+        ),
+        "products",
+        extra={
+            "grouped": """SELECT CASE WHEN rating < 3 THEN 'low' ELSE 'high' END AS grp,
+                                 avg(price) AS price FROM products GROUP BY rating""",
+            **mann_whitney_ctes(),
+            "exact_p": EXACT_P,
+        },
+    )
+
+
 K = C.N_SEGMENTS
 
 
@@ -412,6 +436,7 @@ def oracle_queries() -> dict[str, str]:
         "a9_mann_whitney": build(
             MANN_WHITNEY_BODY, "products", {**grouped, **mann_whitney_ctes()}
         ),
+        "a9_small_groups": small_groups(),
         "a10_group_density_histogram": build(
             """SELECT grp, bin, round(low + bin * width, 6) AS bin_start,
                       round(low + (bin + 1) * width, 6) AS bin_end, count(*) AS n_rows,

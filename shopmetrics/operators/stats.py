@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics import fixed_values as V
 from shopmetrics.functions.mathx import erfc
+from shopmetrics.functions.ranktest import exact_p
 from shopmetrics.operators.ranking import (
     average_rank,
     distinct_counts,
@@ -22,6 +23,8 @@ from shopmetrics.operators.ranking import (
 from shopmetrics.schema import OUTLIER_COLUMN
 
 KDE_POINTS = 200
+# The rank test counts exactly up to this size of the smaller group.
+SMALL_GROUP = 8
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -289,8 +292,10 @@ def choose_two_groups(df: DataFrame, column: str | None = None) -> DataFrame:
 def mann_whitney(grouped: DataFrame, value: str = "price") -> DataFrame:
     """Two-sided rank test of ``value`` between the two groups of ``grp``.
 
-    Tie-corrected normal approximation with continuity correction. Group A is
-    the larger group, ties by name. With one group only, U and p are null.
+    Tie-corrected normal approximation with continuity correction; the exact
+    distribution where one group has at most ``SMALL_GROUP`` rows and no two values
+    are equal (``small_sample``). Group A is the larger group, ties by name. With
+    one group only, U and p are null.
     """
     sizes = (
         grouped.filter(F.col(value).isNotNull())
@@ -342,6 +347,11 @@ def mann_whitney(grouped: DataFrame, value: str = "price") -> DataFrame:
             .otherwise(F.least(F.lit(1.0), erfc(F.col("z") / math.sqrt(2.0)))),
         )
     )
+    small = (F.least("n_a", "n_b") <= SMALL_GROUP) & (F.col("ties") == 0)
+    counted = exact_p("n_a", "n_b", F.when(small, F.col("u_a")))
+    tested = tested.withColumn("_exact", counted).withColumn(
+        "p_value", F.coalesce(F.when(small, F.col("_exact")), F.col("p_value"))
+    )
     significant = F.col("p_value") < V.SIGNIFICANCE
     return tested.select(
         "group_a",
@@ -356,7 +366,7 @@ def mann_whitney(grouped: DataFrame, value: str = "price") -> DataFrame:
         F.when(significant, F.lit(V.SIGNIFICANT_TEXT))
         .when(~significant, F.lit(V.NOT_SIGNIFICANT_TEXT))
         .alias("conclusion"),
-        ((F.least("n_a", "n_b") <= 8) & (F.col("ties") == 0)).alias("small_sample"),
+        small.alias("small_sample"),
     )
 
 

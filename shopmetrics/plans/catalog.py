@@ -161,28 +161,24 @@ def s2_check_source_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.check_source_contract(raw(spark, sf_dir))
 
 
-def _written_raw(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    csv_path, json_path = new_path(spark, "raw-csv"), new_path(spark, "raw-json")
-    tables.write_raw(raw(spark, sf_dir), csv_path, json_path)
-    return csv_path, json_path
-
-
 def s3_read_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    csv_path, _ = _written_raw(spark, sf_dir)
+    csv_path = new_path(spark, "raw-csv")
+    tables.write_raw(raw(spark, sf_dir), csv_path)
     read = listings.read_raw_csv(spark, csv_path)
     return rounded(normalize.normalize_primary(read).select(*PRODUCT_COLUMNS))
 
 
 def s4_read_marketplace_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = star_view.marketplace_rows(spark, sf_dir)
-    csv_path, json_path = new_path(spark, "market-csv"), new_path(spark, "market-json")
-    tables.write_raw(rows, csv_path, json_path)
+    csv_path = new_path(spark, "market-csv")
+    tables.write_raw(rows, csv_path)
     read = listings.read_marketplace_csv(spark, csv_path)
     return rounded(normalize.normalize_marketplace(read).select(*PRODUCT_COLUMNS))
 
 
 def s5_write_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, json_path = _written_raw(spark, sf_dir)
+    json_path = new_path(spark, "raw-json")
+    tables.write_raw(raw(spark, sf_dir), new_path(spark, "raw-csv"), json_path)
     rows = raw(spark, sf_dir).drop("arrival")
     return rounded(spark.read.schema(rows.schema).json(json_path))
 
@@ -463,6 +459,13 @@ def a9_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.mann_whitney(_two_groups(spark, sf_dir))
 
 
+def a9_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean prices of the low against the high ratings: few values, counted exactly."""
+    means = products(spark, sf_dir).groupBy("rating").agg(F.avg("price").alias("price"))
+    grp = F.when(F.col("rating") < 3, F.lit("low")).otherwise(F.lit("high"))
+    return stats.mann_whitney(means.withColumn("grp", grp))
+
+
 def a10_group_density_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.group_density_histogram(_two_groups(spark, sf_dir))
 
@@ -709,6 +712,7 @@ QUERIES: dict[str, Query] = {
     "a8_two_shops": a8_two_shops,
     "a8_two_platforms": a8_two_platforms,
     "a9_mann_whitney": a9_mann_whitney,
+    "a9_small_groups": a9_small_groups,
     "a10_group_density_histogram": a10_group_density_histogram,
     "a11_group_kde": a11_group_kde,
     "a12_top_sellers": _on_products(stats.top_sellers),

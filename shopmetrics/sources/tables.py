@@ -41,13 +41,14 @@ def _write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def write_raw(df: DataFrame, csv_path: str, json_path: str) -> bool:
-    """Write raw rows as CSV and as JSON records; False when there are none."""
+def write_raw(df: DataFrame, csv_path: str, json_path: str | None = None) -> bool:
+    """Write raw rows as CSV and, if asked, as JSON records; False when there are none."""
     if df.isEmpty():
         return False
     rows = _without_arrival(df)
     _write_csv(rows, csv_path)
-    rows.write.mode("overwrite").json(json_path)
+    if json_path:
+        rows.write.mode("overwrite").json(json_path)
     return True
 
 
