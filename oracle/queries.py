@@ -157,16 +157,12 @@ def fixed_starts() -> str:
             SELECT c.k, c.i, {", ".join(f"coalesce(avg(a.{n}), any_value(c.{n})) AS {n}" for n in FEATURES)}
             FROM c{step} c LEFT JOIN a{step} a ON a.k = c.k AND a.i = c.i GROUP BY c.k, c.i"""
     last = f"a{C.FIXED_MOVES}"
-    norm = " + ".join(f"a.{n} * a.{n}" for n in FEATURES)
-    dot = " + ".join(f"a.{n} * s.{n}" for n in FEATURES)
-    ctes["sums"] = f"""
-        SELECT k, i, count(*) AS n, sum({norm}) AS q, {", ".join(f"sum({n}) AS {n}" for n in FEATURES)}
-        FROM {last} a GROUP BY k, i"""
     ctes["means"] = f"""
-        SELECT a.k, a.r,
-          min(CASE WHEN a.i = s.i THEN (s.n * ({norm}) - 2 * ({dot}) + s.q) / (s.n - 1) END) AS inside,
-          min(CASE WHEN a.i <> s.i THEN (s.n * ({norm}) - 2 * ({dot}) + s.q) / s.n END) AS outside
-        FROM {last} a JOIN sums s ON s.k = a.k GROUP BY a.k, a.r"""
+        SELECT k, r, min(CASE WHEN own THEN total / (n - 1) END) AS inside,
+          min(CASE WHEN NOT own THEN total / n END) AS outside
+        FROM (SELECT x.k, x.r, x.i = y.i AS own, y.i, count(*) AS n, sum(sqrt({_between("x", "y")})) AS total
+              FROM {last} x JOIN {last} y USING (k) GROUP BY ALL)
+        GROUP BY k, r"""
     body = f"""
         SELECT k::INTEGER AS k, round(inertia, 6) AS inertia, round(silhouette, 6) AS silhouette
         FROM (SELECT k, sum(d) AS inertia FROM {last} GROUP BY k)
@@ -547,6 +543,11 @@ def oracle_queries() -> dict[str, str]:
         ),
         "m4_fixed_starts": fixed_starts(),
         "m5_silhouette": build(SILHOUETTE, "labelled", k=K),
+        "m5_euclidean_silhouette": build(
+            SILHOUETTE.replace("sum(power(", "sum(sqrt(power(").replace(") AS total", ")) AS total"),
+            "labelled",
+            k=K,
+        ),
         "m7_assign_segments": build(
             f"SELECT product_id, {_nearest()} AS segment FROM scored", "scored"
         ),

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopmetrics.operators.score import scale_features
+from shopmetrics.operators.silhouettes import Silhouette, euclidean_silhouettes
 from shopmetrics.schema import SCALED_FEATURES
 from shopmetrics.sources.staging import stage
 
@@ -278,84 +279,35 @@ def best_models(
     return points, best
 
 
-# --- silhouettes --------------------------------------------------------------
+# --- labels -------------------------------------------------------------------
 
 
-def _silhouette_sums(models: list[np.ndarray], totals: list[np.ndarray]):
-    """Map task: weight and sum of silhouettes under each model's labels.
-
-    A row of totals has weight, coordinates and squared norms of a centre's points.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((len(models), 2))
-        for batch in batches:
-            x, weight = _arrays(batch)
-            norm = (x**2).sum(axis=1)
-            for i, (centres, total) in enumerate(zip(models, totals)):
-                n, s, q = total[:, 0], total[:, 1:-1], total[:, -1]
-                label = squared_distances(x, centres).argmin(axis=1)
-                # Sums of squared distances to all points of each segment.
-                to = np.maximum(norm[:, None] * n - 2 * x @ s.T + q, 0)
-                rows = np.arange(len(x))
-                alone = n[label] <= 1
-                inside = to[rows, label] / np.where(alone, 1, n[label] - 1)
-                mean = np.where(n > 0, to / np.maximum(n, 1), np.inf)
-                mean[rows, label] = np.inf
-                outside = mean.min(axis=1)
-                most = np.maximum(inside, outside)
-                score = np.where(alone | (most == 0), 0, (outside - inside) / np.where(most == 0, 1, most))
-                found[i] += [weight.sum(), (weight * score).sum()]
-        yield pa.RecordBatch.from_pydict(
-            {"model": np.arange(len(models)), "n": found[:, 0], "total": found[:, 1]}
-        )
-
-    return run
-
-
-def _norm_sums(models: list[np.ndarray]):
-    """Map task: weight, coordinates and squared norms of each centre's points."""
-    width = len(SCALED_FEATURES) + 2
+def labelled_points(points: DataFrame, models: list[Model]) -> DataFrame:
+    """The points with ``labels``, the nearest centre of each model; written."""
+    centres = [m.centres for m in models]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((sum(map(len, models)), width))
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, weight = _arrays(batch)
-            norm = (x**2).sum(axis=1)
-            first = 0
-            for centres in models:
-                label = squared_distances(x, centres).argmin(axis=1)
-                k = len(centres)
-                for j, term in enumerate([weight, *(weight * x[:, c] for c in range(x.shape[1])), weight * norm]):
-                    total[first : first + k, j] += np.bincount(label, term, k)
-                first += k
-        yield pa.RecordBatch.from_pydict(
-            {"centre": np.arange(len(total))} | {f"s{j}": total[:, j] for j in range(width)}
-        )
-
-    return run
+            x, _ = _arrays(batch)
+            labels = np.stack([squared_distances(x, c).argmin(axis=1) for c in centres], axis=1)
+            offsets = np.arange(len(x) + 1) * len(centres)
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets.astype(np.int32)), pa.array(labels.ravel().astype(np.int32))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, lists], names=[*SCALED_FEATURES, _WEIGHT, "labels"]
+            )
+
+    schema = ", ".join(f"{n} double" for n in SCALED_FEATURES)
+    found = points.select(*SCALED_FEATURES, _WEIGHT).mapInArrow(
+        label, f"{schema}, {_WEIGHT} long, labels array<int>"
+    )
+    return stage(found, "labelled-points")
 
 
-def silhouettes(points: DataFrame, models: list[Model]) -> list[float | None]:
-    """Mean silhouette under squared distance of each model's labels, two passes for all."""
-    centres = [m.centres for m in models]
-    width = len(SCALED_FEATURES) + 2
-    schema = "centre long, " + ", ".join(f"s{j} double" for j in range(width))
-    rows = (
-        points.select(*SCALED_FEATURES, _WEIGHT)
-        .mapInArrow(_norm_sums(centres), schema)
-        .groupBy("centre")
-        .agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)])
-        .collect()  # one row for each centre
-    )
-    every = np.array([list(r)[1:] for r in sorted(rows)])
-    totals = np.split(every, np.cumsum([len(c) for c in centres])[:-1])
-    found = (
-        points.select(*SCALED_FEATURES, _WEIGHT)
-        .mapInArrow(_silhouette_sums(centres, totals), "model long, n double, total double")
-        .groupBy("model")
-        .agg((F.sum("total") / F.sum("n")).alias("mean"))
-        .collect()  # one row for each model
-    )
-    filled = [int((t[:, 0] > 0).sum()) for t in totals]
-    return [r["mean"] if n > 1 else None for r, n in zip(sorted(found), filled)]
+def silhouettes(points: DataFrame, models: list[Model]) -> list[Silhouette]:
+    """Mean Euclidean silhouette of each model's segments, with its limits."""
+    if not models:
+        return []
+    labelled = labelled_points(points, models)
+    return euclidean_silhouettes(labelled, [m.k for m in models])

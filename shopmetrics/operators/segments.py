@@ -23,6 +23,7 @@ CENTRE_COLUMNS = ["segment", *SCALED_FEATURES]
 def silhouette(df: DataFrame, label: str = "segment") -> DataFrame:
     """One row: mean silhouette of a labelling under squared Euclidean distance.
 
+    The quick form; ``silhouettes.euclidean_silhouette`` has the plain distance.
     The mean squared distance of a point to a segment follows from the
     segment's count, coordinate sums and sum of squared norms, so the cost is
     linear in the rows. Products alone in their segment score 0; a single
@@ -114,7 +115,8 @@ def _k_rows(
         raise ValueError(f"fewer than {k_min} different products: no k is possible")
     ordered = [models[k] for k in sorted(models)]
     scores = kmeans.silhouettes(points, ordered)
-    return [(m.k, m.cost, score) for m, score in zip(ordered, scores)], models
+    rows = [(m.k, m.cost, s.silhouette, s.low, s.high) for m, s in zip(ordered, scores)]
+    return rows, models
 
 
 def _best_k(rows: list[tuple]) -> int:
@@ -131,13 +133,14 @@ def k_table(
     """Inertia and silhouette for every feasible k; ``best`` marks the choice.
 
     A k is feasible below the number of products and up to that of different
-    feature rows. Of ``restarts`` fits of each k the one of least inertia counts.
+    feature rows. The silhouette is the Euclidean one, between the proven limits
+    ``low`` and ``high`` (equal on small tables). Of ``restarts`` fits of each k the one of least inertia counts.
     """
     rows, _ = _k_rows(df, k_min, k_max, seed, restarts)
     best = _best_k(rows)
     return df.sparkSession.createDataFrame(
         [(*row, row[0] == best) for row in rows],
-        "k int, inertia double, silhouette double, best boolean",
+        "k int, inertia double, silhouette double, low double, high double, best boolean",
     )
 
 
@@ -148,7 +151,7 @@ def k_table_from_starts(
     points, models = kmeans.from_starts(df, starts, passes)
     scores = kmeans.silhouettes(points, models)
     return df.sparkSession.createDataFrame(
-        [(m.k, m.cost, score) for m, score in zip(models, scores)],
+        [(m.k, m.cost, s.silhouette) for m, s in zip(models, scores)],
         "k int, inertia double, silhouette double",
     )
 

@@ -21,6 +21,7 @@ from shopmetrics.operators import (
     pages,
     score,
     segments,
+    silhouettes,
     stats,
 )
 from shopmetrics.plans import star_view
@@ -537,6 +538,11 @@ def m5_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segments.silhouette(labelled(spark, sf_dir)))
 
 
+def m5_euclidean_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = silhouettes.euclidean_silhouette(labelled(spark, sf_dir))
+    return rounded(found.select("n_segments", "silhouette"))
+
+
 def m6_segment_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(
         segments.segment_products(scored(spark, sf_dir), k=4).select(
@@ -731,6 +737,7 @@ QUERIES: dict[str, Query] = {
     "m4_k_table": m4_k_table,
     "m4_fixed_starts": m4_fixed_starts,
     "m5_silhouette": m5_silhouette,
+    "m5_euclidean_silhouette": m5_euclidean_silhouette,
     "m6_segment_products": m6_segment_products,
     "m7_assign_segments": m7_assign_segments,
     "m8_segment_price_tier": _tiers(N_SEGMENTS),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopmetrics import fixed_values as V
-from shopmetrics.operators import score, segments
+from shopmetrics.operators import score, segments, silhouettes
 from shopmetrics.schema import SCALED_FEATURES
 
 
@@ -97,6 +97,52 @@ def plain_lloyd(x, centres, moves):
     return cost, label
 
 
+def plain_silhouette(x, label):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    if len(set(label)) < 2:
+        return None
+    values = []
+    for i, own in enumerate(label):
+        same = label == own
+        if same.sum() == 1:
+            values.append(0.0)
+            continue
+        a = d[i][same].sum() / (same.sum() - 1)
+        b = min(d[i][label == o].mean() for o in set(label) - {own})
+        values.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(values))
+
+
+def labelled_table(spark, x, label):
+    rows = [(int(i), *map(float, v)) for i, v in zip(label, x)]
+    return spark.createDataFrame(rows, "segment int, " + ", ".join(f"{n} double" for n in SCALED_FEATURES))
+
+
+@pytest.mark.parametrize("leaves", [20, 100, 4096])
+def test_euclidean_silhouette_within_its_limits(spark, leaves):
+    """Repeated points, a segment of one, points on cell edges and a hot cell."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([
+        rng.random((250, 4)), np.full((150, 4), 0.3) + rng.normal(0, 0.002, (150, 4)),
+        rng.choice([0.0, 0.25, 0.5, 1.0], (100, 4)), np.full((60, 4), 0.5),
+    ])
+    label = np.where(x[:, 0] < 0.35, 7, np.where(x[:, 1] < 0.5, 2, 4))
+    label[0] = 9
+    row = silhouettes.euclidean_silhouette(labelled_table(spark, x, label), leaves=leaves).first()
+    want = plain_silhouette(x, label)
+    assert row.n_segments == 4 and row.low - 1e-9 <= want <= row.high + 1e-9
+    assert row.low <= row.silhouette <= row.high
+    assert row.silhouette == pytest.approx(want, abs={20: 0.1, 100: 0.03, 4096: 1e-7}[leaves])
+    if leaves == 4096:
+        assert row.low == row.high
+
+
+def test_euclidean_silhouette_of_one_segment(spark):
+    df = labelled_table(spark, np.random.default_rng(1).random((5, 4)), [1] * 5)
+    assert tuple(silhouettes.euclidean_silhouette(df).first()) == (1, None, None, None)
+    assert silhouettes.euclidean_silhouette(df.limit(0)).first().n_segments == 0
+
+
 def test_moves_from_given_centres(blobs):
     """Several models in one scan; weights of repeated products; a centre without points stays."""
     twice = blobs.union(blobs)
@@ -106,11 +152,7 @@ def test_moves_from_given_centres(blobs):
     for row, centres in zip(rows, starts):
         cost, label = plain_lloyd(x, np.array(centres), 4)
         assert row.k == len(centres) and row.inertia == pytest.approx(cost, rel=1e-9)
-        labelled = twice.sparkSession.createDataFrame(
-            [(int(i), *map(float, v)) for i, v in zip(label, x)],
-            "segment int, " + ", ".join(f"{n} double" for n in SCALED_FEATURES),
-        )
-        want = segments.silhouette(labelled).first().silhouette
+        want = plain_silhouette(x, label)
         assert row.silhouette == (None if want is None else pytest.approx(want, abs=1e-9))
 
 
