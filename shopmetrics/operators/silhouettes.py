@@ -31,7 +31,7 @@ from shopmetrics.sources.staging import stage
 LEAVES = 4096
 MAX_LEVEL = 15
 # Point and cell distances computed at once.
-ENTRIES_AT_ONCE = 1 << 20
+ENTRIES_AT_ONCE = 1 << 17
 WEIGHT, LABELS = "n_points", "labels"
 _DIMENSIONS = len(SCALED_FEATURES)
 
@@ -189,21 +189,39 @@ def _entries(points: DataFrame, cells: Cells | None, sizes: list[int]) -> list[n
     return found
 
 
-def _limits(x: np.ndarray, entries: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Least, likely and greatest summed distance of each point to each label's points."""
-    n, centre, spread, reach = entries[:, 1], entries[:, 2:-2], entries[:, -2], entries[:, -1]
-    squared = (x**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * x @ centre.T
-    distance = np.sqrt(np.maximum(squared, 0))
-    low = np.add.reduceat(distance * n, heads, axis=1)
-    if not spread.any():
-        return low, low, low
-    apart = distance - reach
-    more = np.where(apart > 0, spread / (2 * np.where(apart > 0, apart, 1)), np.inf)
-    more = np.minimum(more, np.sqrt(n * spread))
-    # Spread alike in all directions: all but the one towards the point add to the distance.
-    share = (_DIMENSIONS - 1) / _DIMENSIONS
-    likely = np.minimum(share * spread / (2 * np.maximum(distance, 1e-300)), more)
-    return low, low + np.add.reduceat(likely, heads, axis=1), low + np.add.reduceat(more, heads, axis=1)
+class _Summer:
+    """Summed distances from points to the points of each label of one labelling."""
+
+    def __init__(self, entries: np.ndarray):
+        self.values, heads = np.unique(entries[:, 0].astype(int), return_index=True)
+        n, spread = entries[:, 1], entries[:, -2]
+        self.total = np.add.reduceat(n, heads)
+        self.centre = np.ascontiguousarray(entries[:, 2:-2].T)
+        self.norm = (self.centre**2).sum(axis=0)
+        self.reach, self.half, self.most = entries[:, -1], spread / 2, np.sqrt(n * spread)
+        self.exact = not spread.any()
+        # One column for each label, to add entries up by label.
+        self.of_label = (entries[:, :1] == self.values).astype(float)
+        self.weights = self.of_label * n[:, None]
+
+    def limits(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Least, likely and greatest sum of each point (row) for each label (column)."""
+        distance = x @ self.centre
+        distance *= -2
+        distance += self.norm
+        distance += (x**2).sum(axis=1)[:, None]
+        np.sqrt(np.maximum(distance, 0, out=distance), out=distance)
+        low = distance @ self.weights
+        if self.exact:
+            return low, low, low
+        more = np.maximum(distance - self.reach, 1e-300)
+        np.minimum(np.divide(self.half, more, out=more), self.most, out=more)
+        # Spread alike in all directions: all but the one towards the point add to the distance.
+        likely = np.maximum(distance, 1e-300, out=distance)
+        np.divide(self.half, likely, out=likely)
+        likely *= (_DIMENSIONS - 1) / _DIMENSIONS
+        np.minimum(likely, more, out=likely)
+        return low, low + likely @ self.of_label, low + more @ self.of_label
 
 
 def _score(inside: np.ndarray, outside: np.ndarray) -> np.ndarray:
@@ -213,36 +231,30 @@ def _score(inside: np.ndarray, outside: np.ndarray) -> np.ndarray:
 
 def _add_scores(entries: list[np.ndarray]):
     """Map task: weight and least, likely and greatest sum of silhouettes of each labelling."""
-    groups = []
-    for own in entries:
-        values, heads = np.unique(own[:, 0], return_index=True)
-        groups.append((values.astype(int), heads, np.add.reduceat(own[:, 1], heads)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summers = [_Summer(own) for own in entries]
         found = np.zeros((len(entries), 4))
         for batch in batches:
             every, weights = _arrays(batch)
             labels = batch.column(_DIMENSIONS + 1).flatten().to_numpy().reshape(len(every), -1)
-            for i, (own, (values, heads, total)) in enumerate(zip(entries, groups)):
-                step = max(1, ENTRIES_AT_ONCE // len(own))
+            for i, own in enumerate(summers):
+                step = max(1, ENTRIES_AT_ONCE // len(own.norm))
                 for first in range(0, len(every), step):
                     part = slice(first, first + step)
-                    x, weight = every[part], weights[part]
-                    at = np.searchsorted(values, labels[part, i])
-                    rows = np.arange(len(x))
-                    alone = total[at] <= 1
-                    others = np.where(alone, 1, total[at] - 1)
-                    low, likely, high = _limits(x, own, heads)
-
-                    def nearest(sums: np.ndarray) -> np.ndarray:
-                        means = sums / total
+                    weight = weights[part]
+                    at = np.searchsorted(own.values, labels[part, i])
+                    rows = np.arange(len(at))
+                    alone = own.total[at] <= 1
+                    others = np.where(alone, 1, own.total[at] - 1)
+                    sums = own.limits(every[part])
+                    inside = [s[rows, at] / others for s in sums]
+                    outside = []
+                    for s in sums:
+                        means = s / own.total
                         means[rows, at] = np.inf
-                        return means.min(axis=1)
-
-                    inside = [s[rows, at] / others for s in (low, likely, high)]
-                    outside = [nearest(s) for s in (low, likely, high)]
+                        outside.append(means.min(axis=1))
                     for j, (a, b) in enumerate(zip(reversed(inside), outside)):
-                        if len(values) > 1:
+                        if len(own.values) > 1:
                             found[i, j + 1] += (weight * np.where(alone, 0, _score(a, b))).sum()
                     found[i, 0] += weight.sum()
         yield pa.RecordBatch.from_pydict(
