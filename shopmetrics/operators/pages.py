@@ -2,53 +2,62 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopmetrics import fixed_values as V
 from shopmetrics.operators.prefix_topk import best_per_key
 
-# Text that an HTML parser does not read as tags.
-_NOT_TAGS = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-)
 _ATTRIBUTES = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+"""
-_CONTENT = r"""(?is)(?:^|\s)content\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-
-# Entities decoded in attribute values, ampersand last.
-_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-]
-
-
-def _first_meta(html: Column, name: str) -> Column:
+# One scan finds what an HTML parser does not read as tags, to its end or that of the
+# page, and the attributes (group 1) of the meta tags between.
+_SCAN = (
+    r"(?is)<!--.*?(?:--!?>|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+    rf"|<meta(?=[\s/])({_ATTRIBUTES})>"
+)
+
+
+def _first_meta(tags: Column, name: str) -> Column:
     """Attributes of the first meta tag with the given property; '' if none.
 
-    All meta tags are cut out first, then searched for the property, so the
-    order of attributes does not matter.
+    Tags are found first and searched for the property then, so the order of
+    attributes does not matter.
     """
-    meta = F.lit(rf"(?is)<meta(?=[\s/])({_ATTRIBUTES})>")
-    tags = F.regexp_extract_all(html, meta, F.lit(1))
     wanted = rf"""(?s)(?:^|\s)(?i:property)\s*=\s*(?:"{name}"|'{name}'|{name}(?=[\s/]|$))"""
     return F.coalesce(
         F.get(F.filter(tags, lambda tag: tag.rlike(wanted)), F.lit(0)), F.lit("")
     )
 
 
-def _content(tag: Column) -> Column:
-    """Value of the content attribute; null if the tag has none."""
-    value = F.concat(*[F.regexp_extract(tag, _CONTENT, i) for i in (1, 2, 3)])
-    for entity, character in _ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(character))
-    return F.when(tag.rlike(_CONTENT), value)
+class _Content(HTMLParser):
+    """Content attribute of one tag, with all character references decoded."""
+
+    found: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        for name, value in attrs:
+            if name == "content":
+                self.found = value or ""
+
+    handle_startendtag = handle_starttag
+
+
+def _content_of(attributes: str | None) -> str | None:
+    if not attributes:
+        return None
+    parser = _Content()
+    parser.feed(f"<meta {attributes}>")
+    return parser.found
+
+
+@F.pandas_udf(T.StringType())
+def _content(tags: pd.Series) -> pd.Series:
+    """Value of the content attribute of a tag's attributes; null if there is none."""
+    return tags.map(_content_of)
 
 
 def page_previews(pages: DataFrame) -> DataFrame:
@@ -63,20 +72,18 @@ def page_previews(pages: DataFrame) -> DataFrame:
         "title": F.lit(V.PREVIEW_DEFAULT_TITLE),
         "description": F.lit(V.PREVIEW_DEFAULT_DESCRIPTION),
     }
-    tagged = pages.withColumn("_text", F.regexp_replace("html", _NOT_TAGS, " "))
+    found = F.regexp_extract_all("html", F.lit(_SCAN), F.lit(1))
+    tagged = pages.withColumn("_tags", F.filter(found, lambda tag: tag != ""))
     tagged = tagged.withColumns(
-        {f"_{part}": _first_meta(F.col("_text"), name) for part, name in parts.items()}
-    )
+        {f"_{part}": _first_meta(F.col("_tags"), name) for part, name in parts.items()}
+    ).withColumns({f"_value_{part}": _content(F.col(f"_{part}")) for part in parts})
     broken = F.col("html").isNull()
     for part in parts:
-        tag = F.col(f"_{part}")
-        broken = broken | ((tag != "") & ~tag.rlike(_CONTENT))
+        broken = broken | ((F.col(f"_{part}") != "") & F.col(f"_value_{part}").isNull())
     values = {
         part: F.when(
             ~F.col("_broken"),
-            F.when(F.col(f"_{part}") == "", defaults[part]).otherwise(
-                _content(F.col(f"_{part}"))
-            ),
+            F.when(F.col(f"_{part}") == "", defaults[part]).otherwise(F.col(f"_value_{part}")),
         )
         for part in parts
     }

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 from shopmetrics.operators.pages import attach_previews, page_previews
 
 TAGS = (
@@ -41,6 +43,40 @@ def test_text_that_is_no_tag(spark):
     assert preview(spark, hidden) == (True, None, NO_TITLE, "")
 
 
+class Metas(HTMLParser):
+    """First content of each property, by Python's HTML parser over the whole page."""
+
+    def __init__(self):
+        super().__init__()
+        self.found = {}
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        if tag == "meta" and "property" in own:
+            self.found.setdefault(own["property"], own.get("content"))
+
+
+def test_references_and_open_comments_against_a_parser(spark):
+    title = '<meta property="og:title" content="{}">'
+    values = [
+        "caf&eacute; &Eacute", "&#x1F600; &#128512;", "&notin; &notit; &amp;lt;", "&copy 2 &unknown; &", "&#0;&#x80;",
+        "a &lt;b&gt; &quot;c&quot; &#39;d&apos;", "&NotEqualTilde; &nbsp;|", "&hellip&mdash;", "no reference",
+    ]
+    htmls = [title.format(v) for v in values] + [
+        "<!-- never closed " + title.format("hidden"), "<script>x = 1 " + title.format("hidden"),
+        title.format("seen") + "<!-- open", "<style>p {} </style>" + title.format("after"),
+        "<meta content='first' property='og:title' content='last'>", "<meta property='og:title' content>",
+        "<!-- a -->" + title.format("later") + "<!-- b -->", "<p title='<meta>'>" + title.format("x"),
+    ]
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id int, html string")
+    for row in page_previews(df).collect():
+        parser = Metas()
+        parser.feed(htmls[row.page_id])
+        parser.close()
+        want = parser.found.get("og:title", NO_TITLE)
+        assert row.title == ("" if want is None else want), htmls[row.page_id]
+
+
 def test_long_page(spark):
     html = "<p>" + "word ' < \" " * 50_000 + "</p>" + TAGS
     assert preview(spark, html)[0]
