@@ -43,6 +43,8 @@ from shopmetrics.llm.components import components
 from shopmetrics.llm.sorted_runs import Columns, new_run, over_sorted
 from shopmetrics.llm.staged import stage_and_release
 
+# Signatures of a map task that are sorted and settled together.
+ROWS_TOGETHER = 1 << 18
 # Elements that may differ within a first-level part; a signature leaves out as many
 # of its second-level parts.
 SLACK = 1
@@ -229,19 +231,47 @@ PROFILE_SCHEMA = "doc_id long, n_shingles long, set_id long, wide binary, " + ",
 ROW_SCHEMA = "settled boolean, key long, sign long, set_id long, pivot long"
 
 
+def _settled_rows(signs: list[np.ndarray], idents: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of the signatures gathered; both lists are emptied, so that their arrays can go."""
+    sign, ident = np.concatenate(signs), np.concatenate(idents)
+    signs.clear()
+    idents.clear()
+    order = np.lexsort((ident, sign))
+    sign, ident = sign[order], ident[order]
+    del order
+    head = new_run(sign)
+    count = np.diff(np.append(np.flatnonzero(head), len(sign)))
+    several = np.repeat(count > 1, count)
+    pick = np.concatenate([np.flatnonzero(head), np.flatnonzero(several)])
+    settled = np.arange(len(pick)) >= head.sum()
+    pivot = np.repeat(ident[head], count)
+    spread = W.mix((sign ^ ident).view(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_pydict(
+        {
+            "settled": pa.array(settled),
+            "key": pa.array(np.where(settled, spread[pick], sign[pick])),
+            # A row that goes on has its signature in the key.
+            "sign": pa.array(np.where(settled, sign[pick], 0)),
+            "set_id": pa.array(ident[pick]),
+            "pivot": pa.array(np.where(settled, pivot[pick], 0)),
+        }
+    )
+
+
 def _signature_rows(size: int, num: int, den: int):
-    """Map task: a row for each signature; a batch's sets meet here already.
+    """Map task: a row for each signature; sets that are read together meet here already.
 
-    Equal sets of a batch count once. Of the sets of a batch that share a
-    signature only the smallest goes on to the signature's reduce task; the
-    others are tied to it, in rows that are dealt by themselves.
+    Equal sets of a batch count once. Of the sets that share a signature among
+    about ``ROWS_TOGETHER`` signatures only the smallest goes on to the signature's
+    reduce task; the others are tied to it, in rows that are dealt by themselves.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
             seen: set[int] = set()
-            signs, idents = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            signs: list[np.ndarray] = []
+            idents: list[np.ndarray] = []
             for _, found in W.slices(batch.column(0), lower=True):
                 grams, first = shingle_sets(found, size)
                 sizes = np.diff(first)
@@ -255,26 +285,10 @@ def _signature_rows(size: int, num: int, den: int):
                 owner, sign = signatures(grams[np.repeat(fresh, sizes)], kept, bands)
                 signs.append(W.signed(sign))
                 idents.append(ident[owner])
-            sign, ident = np.concatenate(signs), np.concatenate(idents)
-            order = np.lexsort((ident, sign))
-            sign, ident = sign[order], ident[order]
-            head = new_run(sign)
-            count = np.diff(np.append(np.flatnonzero(head), len(sign)))
-            several = np.repeat(count > 1, count)
-            pick = np.concatenate([np.flatnonzero(head), np.flatnonzero(several)])
-            settled = np.arange(len(pick)) >= head.sum()
-            pivot = np.repeat(ident[head], count)
-            spread = W.mix((sign ^ ident).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "settled": pa.array(settled),
-                    "key": pa.array(np.where(settled, spread[pick], sign[pick])),
-                    # A row that goes on has its signature in the key.
-                    "sign": pa.array(np.where(settled, sign[pick], 0)),
-                    "set_id": pa.array(ident[pick]),
-                    "pivot": pa.array(np.where(settled, pivot[pick], 0)),
-                }
-            )
+                if sum(map(len, signs)) >= ROWS_TOGETHER:
+                    yield _settled_rows(signs, idents)
+            if signs:
+                yield _settled_rows(signs, idents)
 
     return run
 
