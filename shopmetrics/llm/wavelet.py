@@ -64,7 +64,7 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             one = (ids & ids.dtype.type(1 << level)) != 0
             planes.append(np.packbits(one))
-            ids = np.concatenate([ids[~one], ids[one]])
+            ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
         return cls(len(ids), planes)
 
     def _bit(self, level: int, place: int) -> int:
@@ -144,8 +144,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.size).view(bool)
             above = np.empty_like(ids)
-            above[~one] = ids[: self.zeros[level]]
-            above[one] = ids[self.zeros[level] :] | ids.dtype.type(
+            above[np.flatnonzero(~one)] = ids[: self.zeros[level]]
+            above[np.flatnonzero(one)] = ids[self.zeros[level] :] | ids.dtype.type(
                 1 << (len(self.planes) - 1 - level)
             )
             ids = above
@@ -219,12 +219,13 @@ def _write(path: str, end_id: int, folder: str):
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for own, doc, text in zip(*(batch.column(i) for i in range(3))):
-                if docs and own.as_py() != shard:
+            shards, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for own, doc, text in zip(shards, known, batch.column(2)):
+                if docs and own != shard:
                     yield finish()
-                shard = own.as_py()
+                shard = own
                 ids += [encoder.encode(text.as_py() or ""), end]
-                docs.append(doc.as_py())
+                docs.append(doc)
                 lengths.append(len(ids[-2]) + 1)
         if docs:
             yield finish()
@@ -262,6 +263,12 @@ def _checked(folder: str, name: str, sha256: str) -> bytes:
     return data
 
 
+def _dealt(listed: DataFrame) -> DataFrame:
+    """Files over as many tasks as shuffles have: their names are too few bytes to tell."""
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "name")
+
+
 def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     """Documents of the files: doc_id, start, n_tokens and ids (32-bit, little-endian)."""
 
@@ -286,7 +293,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
                 )
 
     listed = manifest.select("name", "sha256", "first_token")
-    spread = stage_and_release(listed, "token-files").repartition("name")
+    spread = _dealt(stage_and_release(listed, "token-files"))
     return spread.mapInArrow(run, DOCUMENT_SCHEMA)
 
 
@@ -301,4 +308,4 @@ def find_token(folder: str, manifest: DataFrame, token: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"place": pa.array(places)})
 
     listed = manifest.select("name", "sha256", "first_token")
-    return listed.repartition("name").mapInArrow(run, "place long")
+    return _dealt(listed).mapInArrow(run, "place long")
