@@ -320,5 +320,7 @@ def read_warc(folder: str, manifest: DataFrame, payloads: bool = False) -> DataF
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
-    listed = manifest.select("name", "sha256").repartition("name")
+    # As many tasks as shuffles have: the names are too few bytes to tell what they cost.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = manifest.select("name", "sha256").repartition(parts, "name")
     return listed.mapInArrow(run, RECORD_SCHEMA + (", payload binary" if payloads else ""))
