@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shopmetrics import fixed_values as V
+from shopmetrics.functions.references import decode_references
 from shopmetrics.operators.prefix_topk import best_per_key
 
 _ATTRIBUTES = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+"""
@@ -21,43 +18,35 @@ _SCAN = (
 )
 
 
-def _first_meta(tags: Column, name: str) -> Column:
-    """Attributes of the first meta tag with the given property; '' if none.
+# Name, and value between double, single or no quotes; quoted values are passed over whole.
+_ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
 
-    Tags are found first and searched for the property then, so the order of
-    attributes does not matter.
-    """
-    wanted = rf"""(?s)(?:^|\s)(?i:property)\s*=\s*(?:"{name}"|'{name}'|{name}(?=[\s/]|$))"""
-    return F.coalesce(
-        F.get(F.filter(tags, lambda tag: tag.rlike(wanted)), F.lit(0)), F.lit("")
-    )
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Raw value of an attribute ('' if it has none); null if the tag lacks it. The last one counts."""
 
-class _Content(HTMLParser):
-    """Content attribute of one tag, with all character references decoded."""
+    def parts(group: int) -> Column:
+        return F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(group))
 
-    found: str | None = None
+    def both(one: Column, other: Column) -> Column:
+        return F.concat(one, other)
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        for name, value in attrs:
-            if name == "content":
-                self.found = value or ""
-
-    handle_startendtag = handle_starttag
+    values = F.zip_with(F.zip_with(parts(2), parts(3), both), parts(4), both)
+    pairs = F.zip_with(
+        parts(1), values, lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("value"))
+    )
+    return F.try_element_at(F.filter(pairs, lambda p: p["name"] == name), F.lit(-1))["value"]
 
 
-def _content_of(attributes: str | None) -> str | None:
-    if not attributes:
-        return None
-    parser = _Content()
-    parser.feed(f"<meta {attributes}>")
-    return parser.found
+def _first_meta(tags: Column, name: str) -> Column:
+    """Attributes of the first meta tag with the given property; '' if none."""
+    same = F.filter(tags, lambda tag: _attribute(tag, "property") == name)
+    return F.coalesce(F.get(same, F.lit(0)), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def _content(tags: pd.Series) -> pd.Series:
-    """Value of the content attribute of a tag's attributes; null if there is none."""
-    return tags.map(_content_of)
+def _content(tag: Column) -> Column:
+    """Text of the content attribute of a tag's attributes; null if there is none."""
+    return decode_references(_attribute(tag, "content"))
 
 
 def page_previews(pages: DataFrame) -> DataFrame:
@@ -76,7 +65,7 @@ def page_previews(pages: DataFrame) -> DataFrame:
     tagged = pages.withColumn("_tags", F.filter(found, lambda tag: tag != ""))
     tagged = tagged.withColumns(
         {f"_{part}": _first_meta(F.col("_tags"), name) for part, name in parts.items()}
-    ).withColumns({f"_value_{part}": _content(F.col(f"_{part}")) for part in parts})
+    ).withColumns({f"_value_{part}": F.when(F.col(f"_{part}") != "", _content(F.col(f"_{part}"))) for part in parts})
     broken = F.col("html").isNull()
     for part in parts:
         broken = broken | ((F.col(f"_{part}") != "") & F.col(f"_value_{part}").isNull())

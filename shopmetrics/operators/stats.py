@@ -349,10 +349,8 @@ def mann_whitney(grouped: DataFrame, value: str = "price") -> DataFrame:
         )
     )
     small = (F.least("n_a", "n_b") <= SMALL_GROUP) & (F.col("ties") == 0)
-    counted = exact_p("n_a", "n_b", F.when(small, F.col("u_a")))
-    tested = tested.withColumn("_exact", counted).withColumn(
-        "p_value", F.coalesce(F.when(small, F.col("_exact")), F.col("p_value"))
-    )
+    counted = exact_p(F.col("n_a"), F.col("n_b"), F.when(small, F.col("u_a")))
+    tested = tested.withColumn("p_value", F.coalesce(F.when(small, counted), F.col("p_value")))
     significant = F.col("p_value") < V.SIGNIFICANCE
     return tested.select(
         "group_a",
