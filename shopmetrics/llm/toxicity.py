@@ -187,9 +187,14 @@ def gram_table(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Restorer:
-    """Restores obfuscated spots of texts."""
+    """Restores obfuscated spots of texts.
+
+    With ``heads``, a token of some word isn't decoded if no reading of it has a word
+    that begins so (or is one, if shorter): such words weigh nothing in a score.
+    """
 
     model: CharacterModel
+    heads: set[str] | None = None
 
     def __post_init__(self) -> None:
         self.memo: dict[str, float] = {}
@@ -222,6 +227,28 @@ class Restorer:
                 places.append(options)
         return places
 
+    def reaches(self, seen: str) -> bool:
+        """Whether any reading of a spot, likely or not, has a word with one of the heads."""
+        begun: set[str | None] = {""}  # words so far; None for one that is longer than a head
+        for options in self.lattice(seen):
+            after: set[str | None] = set()
+            for word in begun:
+                for letter, _ in options:
+                    if letter == " ":
+                        if word in self.heads:
+                            return True
+                        after.add("")
+                    elif not letter or word is None:
+                        after.add(word)
+                    elif len(word) + 1 < PREFIXES.start:
+                        after.add(word + letter)
+                    elif word + letter in self.heads:
+                        return True
+                    else:
+                        after.add(None)
+            begun = after
+        return not begun.isdisjoint(self.heads)
+
     def decode(self, seen: str) -> str:
         """Viterbi: the best text, by the last ORDER - 1 letters as the state."""
         start = " " * (ORDER - 1)
@@ -273,6 +300,10 @@ class Restorer:
             return True
         return bool(_STRANGE.search(token.translate(_SEPARATED)))
 
+    def matters(self, seen: str, found: list[str]) -> bool:
+        """Whether the restored spot could tell more than the words found as they stand."""
+        return not found or self.heads is None or self.reaches(seen)
+
     def words(self, token: str) -> list[str]:
         """Words of a token in lower case, with what an odd token may stand for."""
         core = token.strip(_EDGES).rstrip("!" + _EDGES)
@@ -280,11 +311,11 @@ class Restorer:
             found, odd = [core], _REPEAT.search(core)
         else:
             found, odd = _WORD.findall(token), core and self.odd(core)
-        if odd:
+        if odd and self.matters(core, found):
             found += _WORD.findall(self.spot(core))
         if len(core) < len(token):
             whole = token.strip(_OTHER_EDGES)
-            if len(core) < len(whole) and self.odd(whole):
+            if len(core) < len(whole) and self.odd(whole) and self.matters(whole, found):
                 found += _WORD.findall(self.spot(whole))
         return found
 
@@ -568,8 +599,8 @@ def toxicity(
     text_at = [c.lower() for c in names].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.value)
         words = WordScorer(*scorer.value)
+        restorer = Restorer(model.value, words.heads)
         for batch in batches:
             texts = batch.column(text_at)
             scores = [

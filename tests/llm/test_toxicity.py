@@ -184,3 +184,18 @@ def test_weights_of_near_copies(spark):
     size = Counter(c for _, c in groups.values())
     assert got == {d: pytest.approx(1 / size[c]) for d, (_, c) in groups.items()}
     assert got[0] == 1.0 and got[300] == pytest.approx(1 / 20)
+
+
+def test_unread_spots_change_no_score(short_words):
+    rng = random.Random(3)
+    weights = {"ass": 0.9, "dumb-": 0.7, "cunt": 0.6, "idiot": 0.8, "shit-": 0.75, "letter": 0.3}
+    tokens = [
+        "".join(rng.choice("aassdumbcntiilleetrrkh15$@!*.-/(") for _ in range(rng.randint(1, 12)))
+        for _ in range(3000)
+    ] + ["a$$", "iddiott", "dumba$$", "lettter", "(unt", "c.u.n.t", "k11l/a55", "rabbit", "$$$"]
+    every = X.Restorer(short_words.model)
+    plain, quick = X.WordScorer(weights, 0.1), X.WordScorer(weights, 0.1)
+    pruned = X.Restorer(short_words.model, quick.heads)
+    for token in tokens:
+        assert quick.score({token}, pruned) == plain.score({token}, every), token
+    assert len(pruned.known) < len(every.known) / 2
