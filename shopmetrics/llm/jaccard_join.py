@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.llm import words as W
 from shopmetrics.llm.components import components
+from shopmetrics.llm.lean import lean
 from shopmetrics.llm.sorted_runs import Columns, new_run, over_sorted
 from shopmetrics.llm.staged import stage_and_release
 
@@ -344,7 +345,7 @@ def _verified(
         pairs.join(first, "a")
         .join(second, "b")
         .select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "wa", "wb")
-        .mapInArrow(_near_sketches(num, den), "a long, b long"),
+        .mapInArrow(lean(_near_sketches(num, den)), "a long, b long"),
         "near-pairs",
     )
     a = grams.select(F.col("set_id").alias("a"), F.col("grams").alias("ga"))
@@ -399,10 +400,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     ``component_id`` is the smallest doc_id reachable by links.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = stage_and_release(texts.mapInArrow(_profiles(size), PROFILE_SCHEMA), "profiles")
+    profiles = stage_and_release(texts.mapInArrow(lean(_profiles(size)), PROFILE_SCHEMA), "profiles")
     shared = stage_and_release(
         over_sorted(
-            texts.select("text").mapInArrow(_signature_rows(size, num, den), ROW_SCHEMA),
+            texts.select("text").mapInArrow(lean(_signature_rows(size, num, den)), ROW_SCHEMA),
             "key",
             ["settled", "key", "set_id"],
             _meet,
@@ -433,7 +434,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
         texts.join(met.select("doc_id").hint("merge"), "doc_id", "left_semi")
         # A set that only rows without an id hold has none to be found by.
         .unionByName(texts.where("doc_id is null").dropDuplicates(["text"]))
-        .mapInArrow(_sets(size), "set_id long, grams array<long>")
+        .mapInArrow(lean(_sets(size)), "set_id long, grams array<long>")
         .join(met.select("set_id"), "set_id", "left_semi")
         .dropDuplicates(["set_id"]),
         "sets",

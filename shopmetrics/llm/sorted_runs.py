@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shopmetrics.llm.lean import lean
+
 Columns = dict[str, np.ndarray]
 # (columns, is this the last call of the partition) -> (rows out, rows to see again)
 Step = Callable[[Columns, bool], tuple[Columns, Columns]]
@@ -57,4 +59,4 @@ def over_sorted(
             out, _ = step(again, True)
             yield pa.RecordBatch.from_pydict({n: pa.array(c) for n, c in out.items()})
 
-    return df.repartition(key).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(*order).mapInArrow(lean(run), schema)

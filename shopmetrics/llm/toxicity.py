@@ -45,6 +45,7 @@ from pyspark.sql import types as T
 
 from shopmetrics.llm import words as W
 from shopmetrics.llm.jaccard_join import jaccard_join
+from shopmetrics.llm.lean import lean
 from shopmetrics.sources.staging import stage
 
 FIT_DOCUMENTS = 20_000
@@ -460,13 +461,13 @@ def character_model(docs: DataFrame) -> CharacterModel:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = (
         docs.select("text")
-        .mapInArrow(_count_words, "word string, n long")
+        .mapInArrow(lean(_count_words), "word string, n long")
         .repartition(tasks, "word")  # as many tasks for the n-grams of the words
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
     )
     grams = (
-        words.mapInArrow(_count_grams, "place long, n double")
+        words.mapInArrow(lean(_count_grams), "place long, n double")
         .groupBy("place")
         .agg(F.sum("n").alias("n"))
         .toPandas()
@@ -556,7 +557,7 @@ def fit(
     prior = n.toxic / n.n
     found = (
         spread.mapInArrow(
-            _document_features(model), "feature string, clean double, toxic double"
+            lean(_document_features(model)), "feature string, clean double, toxic double"
         )
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -612,7 +613,7 @@ def toxicity(
             )
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = kept.mapInArrow(run, schema)
+    scored = kept.mapInArrow(lean(run), schema)
     return scored.withColumn("held_out", held_out()).withColumn(
         "predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)
     )

@@ -35,6 +35,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    _POWERS.clear()
+
+
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
