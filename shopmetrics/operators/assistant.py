@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics import fixed_values as V
 from shopmetrics.functions.mathx import tenth_text, whole_text
-from shopmetrics.operators.prefix_topk import Axis, best_per_key, prefix_top_k
+from shopmetrics.operators.prefix_topk import Axis, best_per_key, prefix_top_k, skyband
 from shopmetrics.operators.ranking import distinct_counts, with_prefix
 from shopmetrics.operators.stats import category_means
 from shopmetrics.schema import require_columns
@@ -208,11 +208,14 @@ def _alternatives_per_cell(
     cells = wanted.select(*cell).distinct()
 
     # At most three products of one cell can be among anybody's best three, and
-    # likewise of one price.
-    strict = prefix_top_k(
+    # likewise of one price; of those, none that three others outdo in everything.
+    offered = (
         best_per_key(scored, cell, [F.asc("entry")], ALTERNATIVES)
         .join(price_places, price)
-        .join(rating_positions, "rating"),
+        .join(rating_positions, "rating")
+    )
+    strict = prefix_top_k(
+        skyband(offered, ["category"], [price_axis, rating_axis], ALTERNATIVES),
         cells.join(price_places, price).join(rating_bounds, "rating"),
         group=["category"],
         axes=[price_axis, rating_axis],

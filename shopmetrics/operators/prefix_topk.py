@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 # 2^l positions. Blocks above this level are kept in several copies, each
 # serving 2^LEVEL_SERVED positions, so no join key collects a whole group.
 LEVEL_SERVED = 14
+# Bits of the bands that an axis is cut into before blocks are built.
+BAND_BITS = 6
 
 
 @dataclass(frozen=True)
@@ -146,3 +148,49 @@ def prefix_top_k(
         .groupBy(*query_key)
         .agg(F.slice(merged, 1, k).alias("best"))
     )
+
+
+def skyband(
+    candidates: DataFrame, group: list[str], axes: list[Axis], k: int
+) -> DataFrame:
+    """``candidates`` without rows that can be no query's k best.
+
+    A row that k better rows with no higher position on any axis stand before
+    serves nobody: each query that it matches, they match too. They are looked
+    for in coarse cells (at most 2 ** BAND_BITS bands an axis, whatever the size of
+    a group), in all bands below the row's own; its own band counts where a
+    band is a single position. What stays may be more than needed, never less.
+    """
+    banded = candidates
+    for i, axis in enumerate(axes):
+        top = F.col(axis.top)
+        shift = F.greatest(F.length(F.bin(top)) - BAND_BITS, F.lit(0))
+        band = _shift_right(F.col(axis.position), shift)
+        banded = banded.withColumns(
+            {
+                f"_band{i}": band,
+                f"_limit{i}": band + F.when(shift == 0, 1).otherwise(0),
+                f"_last{i}": _shift_right(top, shift),
+            }
+        )
+    cell = [*group, *[f"_band{i}" for i in range(len(axes))]]
+    made = [f"_{name}{i}" for i in range(len(axes)) for name in ("band", "limit", "last")]
+    first = best_per_key(
+        banded.select(*group, *made, "entry"), cell, [F.asc("entry")], k
+    )
+    better = prefix_top_k(
+        first,
+        first.select(*group, *made).distinct(),
+        group=group,
+        axes=[Axis(f"_band{i}", f"_limit{i}", f"_last{i}") for i in range(len(axes))],
+        query_key=cell,
+        k=k,
+    )
+    worst = better.filter(F.size("best") == k).select(
+        *cell, F.element_at("best", k).alias("_worst")
+    )
+    return (
+        banded.join(worst, cell, "left")
+        .filter(F.col("_worst").isNull() | (F.col("entry") <= F.col("_worst")))
+        .select(*candidates.columns)
+    )

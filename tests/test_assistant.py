@@ -183,3 +183,44 @@ def test_reasons(products):
 def test_sample(products):
     rows = assistant.sample_products(products([{} for _ in range(7)])).collect()
     assert [r.product_id for r in rows] == ["0", "1", "2", "3", "4"] and len(rows[0]) == 7
+
+
+@pytest.mark.parametrize("prices,ratings,kept_share", [(3000, 2000, 0.2), (3000, 30, 0.2), (20, 5, 1.0)])
+def test_skyband_keeps_whoever_can_be_among_the_best(spark, prices, ratings, kept_share):
+    rng = np.random.default_rng(prices + ratings)
+    n = 3000
+    rows = pd.DataFrame(
+        {
+            "category": np.where(np.arange(n) < n - 4, "hot", "cold"),
+            "price_position": rng.integers(0, prices, n),
+            "rating_position": rng.integers(0, ratings, n),
+            "minus_score": -rng.integers(0, 200, n).astype(float),
+            "product_id": np.arange(n),
+        }
+    )
+    frame = spark.createDataFrame(rows).select(
+        "category",
+        "price_position",
+        F.lit(prices - 1).cast("long").alias("price_top"),
+        "rating_position",
+        F.lit(ratings - 1).cast("long").alias("rating_top"),
+        F.struct("minus_score", "product_id").alias("entry"),
+    )
+    axes = [
+        prefix_topk.Axis("price_position", "price_position", "price_top"),
+        prefix_topk.Axis("rating_position", "rating_position", "rating_top"),
+    ]
+    found = prefix_topk.skyband(frame, ["category"], axes, 3)
+    assert found.columns == frame.columns
+    ids = [r[0] for r in found.select("entry.product_id").collect()]
+    kept = set(ids)
+    assert len(kept) == len(ids)
+
+    hot = rows[rows.category == "hot"]
+    price, rating = hot.price_position.to_numpy(), hot.rating_position.to_numpy()
+    rank = hot[["minus_score", "product_id"]].apply(tuple, axis=1).rank().to_numpy()
+    for at, product in enumerate(hot.product_id):
+        outdone = (price <= price[at]) & (rating <= rating[at]) & (rank < rank[at])
+        assert product in kept or outdone.sum() >= 3
+    assert set(range(n - 4, n)) <= kept or prices < 3000
+    assert len(kept) <= kept_share * n
