@@ -18,6 +18,8 @@ from shopmetrics.schema import (
 )
 
 REQUIRED = ["product_id", "product_name", "price"]
+# Tasks that the copies of one key are dealt to before the first of them is found.
+DEALT = 8
 
 
 def _arrival_order(df: DataFrame) -> list[str]:
@@ -34,10 +36,15 @@ def _arrival_order(df: DataFrame) -> list[str]:
 def keep_first(df: DataFrame, key: str) -> DataFrame:
     """First arrived row per key.
 
-    A key with very many copies sends one row per map task through the shuffle.
+    Rows are dealt by key before they are sorted: a task sorts one shuffle partition,
+    however large the pieces are that the input is read in, and nearly all copies go
+    there. ``DEALT`` tasks share a key, so one with very many copies isn't left to a
+    single task; at most ``DEALT`` rows per key go through the second shuffle.
     """
-    order = [F.col(name).asc_nulls_last() for name in _arrival_order(df)]
-    return best_per_key(df, [key], order, 1)
+    names = _arrival_order(df)
+    order = [F.col(name).asc_nulls_last() for name in names]
+    share = F.pmod(F.xxhash64(*names), F.lit(DEALT))
+    return best_per_key(df.repartition(F.col(key), share), [key], order, 1)
 
 
 def dedup_raw(df: DataFrame, key: str = "id") -> DataFrame:

@@ -23,6 +23,16 @@ def test_dedup_raw_keeps_first_arrived(spark):
     assert tuple(clean.dedup_counts(df.limit(0)).first()) == (0, 0, 0)
 
 
+def test_rows_are_dealt_before_they_are_sorted(spark):
+    """A map task doesn't sort all it reads, and a hot key has the right first copy."""
+    rows = [("hot", f"n{i}", float(i), "x") for i in range(300)] + [(None, "c", 3.0, "z"), ("1", "a", 1.0, "x")]
+    kept = clean.dedup_raw(raw(spark, rows[::-1]))
+    assert sorted(r.name for r in kept.collect()) == ["a", "c", "n299"]
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    before = plan[plan.index("WindowGroupLimit"):]
+    assert "Exchange hashpartitioning(id" in before and f", {clean.DEALT})" in before
+
+
 def test_zero_priced_first_copy_removes_the_product(spark):
     df = raw(spark, [("1", "a", 0.0, "x"), ("1", "a", 5.0, "x"), ("2", "b", 5.0, "x"), ("3", None, 1.0, "x"), ("3", "c", 7.0, "x")])
     got = {r.product_id: r.price for r in clean.clean_products(df).collect()}
