@@ -11,6 +11,9 @@ from shopmetrics.operators.stats import quality_report
 from shopmetrics.schema import CLEAN_SCHEMA, order_columns, require_columns
 from shopmetrics.sources.snapshots import read_table, replace_table
 
+# JSON lines are compressed; a file, which one task reads, has at most so many.
+JSON_OPTIONS = {"compression": "gzip", "maxRecordsPerFile": 1_000_000}
+
 _NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
@@ -48,10 +51,15 @@ def write_raw(df: DataFrame, csv_path: str, json_path: str | None = None) -> boo
     rows = _without_arrival(df)
     _write_csv(rows, csv_path)
     if json_path:
-        rows.write.mode("overwrite").json(json_path)
+        write_json(rows, json_path)
     return True
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Write rows as compressed JSON lines."""
+    df.write.mode("overwrite").options(**JSON_OPTIONS).json(path)
+
+
 def write_products(df: DataFrame, path: str, keep: int = 2) -> None:
     """Replace the product table; readers see the old one or the new one, never a part."""
     replace_table(_without_arrival(df), path, keep)

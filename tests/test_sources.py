@@ -129,6 +129,18 @@ def test_raw_round_trip(spark, tmp_path):
     assert not (tmp_path / "e").exists()
 
 
+def test_json_files_are_small(spark, tmp_path, monkeypatch):
+    """Compressed, and cut into files that a task can read."""
+    monkeypatch.setitem(tables.JSON_OPTIONS, "maxRecordsPerFile", 100)
+    df = spark.range(250).select(F.col("id").cast("string"), F.lit("same name").alias("name")).coalesce(1)
+    path = tmp_path / "j"
+    tables.write_raw(df, str(tmp_path / "c"), str(path))
+    files = [f for f in path.iterdir() if f.name.endswith(".json.gz")]
+    assert len(files) == 3
+    assert sum(f.stat().st_size for f in files) < 250 * 10
+    assert spark.read.json(str(path)).distinct().count() == 250
+
+
 def test_product_table_is_replaced(spark, products, tmp_path):
     path = str(tmp_path / "p")
     tables.write_products(products([{}, {}]), path)
