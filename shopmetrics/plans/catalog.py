@@ -150,10 +150,11 @@ def s1_read_listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = raw(spark, sf_dir)
     fields = [c for c in items.columns if c != "arrival"]
     path = new_path(spark, "listing-pages")
-    responses = items.groupBy("arrival.l_orderkey", "arrival.l_linenumber").agg(
+    page = [F.col("arrival.l_orderkey"), F.col("arrival.l_linenumber")]
+    responses = items.repartition(*page).groupBy(*page).agg(
         F.collect_list(F.struct(*fields)).alias("data")
     )
-    responses.select("data").write.json(path)
+    tables.write_json(responses.select("data"), path)
     read = listings.read_listing_pages(spark, path, one_per_line=True, fields=fields)
     return rounded(normalize.normalize_primary(read).select(*PRODUCT_COLUMNS))
 
