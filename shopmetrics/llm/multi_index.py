@@ -7,7 +7,10 @@ centroids) with a heap, and the vectors of the cells it visits are rescored
 exactly. The walk has no fixed length. Each cell's expected share of the
 nearest ``k`` follows from its size, its centroid's score and the spread of
 the vectors around it; the walk ends when the visited cells hold
-``target_recall`` of that sum. On data without clusters that takes many cells,
+``target_recall`` of that sum. A cell answers with the vectors above a floor only,
+the score that ``SPARE * k`` vectors are expected to exceed, so that the answers grow
+with the queries and not with the cells; queries that get fewer than ``k`` answers so
+are asked again without a floor, which makes the result the same as without one. On data without clusters that takes many cells,
 on clustered data few, and the recall stays near the target at any size.
 
 K grows with the square root of the number of vectors, up to ``MOST_CENTROIDS``;
@@ -42,6 +45,8 @@ MOST_CENTROIDS = 512
 CELL_VECTORS = 200
 SLICE = 4096
 QUERY_BLOCK = 4096
+# Times k vectors are expected above the floor of a query's answers.
+SPARE = 4
 
 
 def _tail(z: np.ndarray) -> np.ndarray:
@@ -86,25 +91,32 @@ class MultiIndex:
         return one * len(self.second) + V.closest(points[:, cut:], self.second)
 
     def expected(self, query: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-        """Half scores, and each cell's expected number of the nearest k."""
+        """Half scores, each cell's expected number of the nearest k, and the answers' floor."""
         cut = self.first.shape[1]
         one, two = self.first @ query[:cut], self.second @ query[cut:]
         spread = (query[:cut] @ query[:cut]) * self.first_spread[:, None]
         spread = np.sqrt(spread + (query[cut:] @ query[cut:]) * self.second_spread[None] + 1e-18)
         mean = one[:, None] + two[None]
-        low = float((mean - 9 * spread).min())
+        least = low = float((mean - 9 * spread).min())
         high = float((mean + 9 * spread).max())
-        for _ in range(40):  # the score that k vectors are expected to exceed
-            middle = (low + high) / 2
-            if (self.sizes * _tail((middle - mean) / spread)).sum() > k:
-                low = middle
-            else:
-                high = middle
-        return one, two, self.sizes * _tail((low - mean) / spread)
-
-    def walk(self, query: np.ndarray, k: int, target: float) -> list[int]:
-        """Filled cells by summed distance until ``target`` of the nearest is expected."""
-        one, two, share = self.expected(query, k)
+
+        def exceeded(n: int, low: float, high: float, rounds: int) -> float:
+            """The score that n vectors are expected to exceed, or a little less."""
+            for _ in range(rounds):
+                middle = (low + high) / 2
+                if (self.sizes * _tail((middle - mean) / spread)).sum() > n:
+                    low = middle
+                else:
+                    high = middle
+            return low
+
+        low = exceeded(k, low, high, 40)
+        floor = exceeded(SPARE * k, least, low, 12)
+        return one, two, self.sizes * _tail((low - mean) / spread), floor
+
+    def walk(self, query: np.ndarray, k: int, target: float) -> tuple[list[int], float]:
+        """Filled cells by summed distance until ``target`` of the nearest is expected; the floor."""
+        one, two, share, floor = self.expected(query, k)
         wanted = target * share.sum()
         rows, columns = np.argsort(-one), np.argsort(-two)
         heap = [(-(one[rows[0]] + two[columns[0]]), 0, 0)]
@@ -123,7 +135,7 @@ class MultiIndex:
                 if i < len(rows) and j < len(columns) and (i, j) not in met:
                     met.add((i, j))
                     heapq.heappush(heap, (-(one[rows[i]] + two[columns[j]]), i, j))
-        return cells
+        return cells, floor
 
 
 def _assign(shared):
@@ -144,13 +156,14 @@ def _visits(shared, k: int, target: float):
             points = V.matrix(batch.column(1))
             for start in range(0, len(points), 64):
                 part = points[start : start + 64]
-                cells = [shared.value.walk(q, k, target) for q in part]
+                cells, floors = zip(*(shared.value.walk(q, k, target) for q in part))
                 lengths = np.array([len(c) for c in cells])
                 row = np.repeat(np.arange(len(part)), lengths)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "query_id": batch.column(0).slice(start, len(part)).take(pa.array(row)),
                         "cell": pa.array(np.concatenate(cells).astype(np.int64)),
+                        "floor": pa.array(np.repeat(floors, lengths)),
                     }
                 )
 
@@ -158,12 +171,13 @@ def _visits(shared, k: int, target: float):
 
 
 def _rescore(k: int):
-    """Exact scores of a slice's vectors for the queries that visit it."""
+    """Exact scores of a slice's vectors for the queries that visit it, from their floors up."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         points, asked = V.matrix(vectors.column("vector")), V.matrix(queries.column("query"))
         ids = vectors.column("vec_id").to_numpy()
         query_ids = queries.column("query_id").to_numpy()
+        floors = queries.column("floor").to_numpy()
         out: list[list[np.ndarray]] = [[np.zeros(0, int), np.zeros(0, int), np.zeros(0)]]
         if len(points) and len(asked):
             order = np.argsort(ids)
@@ -174,6 +188,8 @@ def _rescore(k: int):
                 query, row = V.top_rows(scores, ids, query_ids[start : start + 256], k)
                 # The score to report is summed in one order, whatever the block.
                 exact = (part[query] * points[row]).sum(axis=1)
+                high = exact >= floors[start : start + 256][query]
+                query, row, exact = query[high], row[high], exact[high]
                 out.append([query_ids[start : start + 256][query], ids[row], exact])
         query_id, vec_id, score = (np.concatenate(c) for c in zip(*out))
         return pa.table(
@@ -215,35 +231,44 @@ def nearest(
     visits = stage_and_release(
         queries.select("vec_id", "vector")
         .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vec_id")
-        .mapInArrow(_visits(shared, k, target_recall), "query_id long, cell long"),
+        .mapInArrow(_visits(shared, k, target_recall), "query_id long, cell long, floor double"),
         "visits",
     )
-    # A slice of a cell meets a block of the queries that visit the cell.
-    load = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
-    load = load.join(sizes, "cell").select(
-        "cell", "blocks", F.ceil(F.col("n") / SLICE).alias("slices")
-    )
-    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    sliced = (
-        celled.join(load, "cell")
-        .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")))
-        .withColumn("block", every_one(F.col("blocks")))
-        .select("cell", "slice", "block", "vec_id", "vector")
-    )
-    asked = (
-        visits.join(load, "cell")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
-        .withColumn("slice", every_one(F.col("slices")))
-        .join(
-            queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")),
-            "query_id",
+
+    def answers(visits: DataFrame) -> DataFrame:
+        """Scores of the cells' vectors; a slice of a cell meets a block of its queries."""
+        load = visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
+        load = load.join(sizes, "cell").select(
+            "cell", "blocks", F.ceil(F.col("n") / SLICE).alias("slices")
         )
-        .select("cell", "slice", "block", "query_id", "query")
-    )
-    keys = ["cell", "slice", "block"]
-    found = (
-        sliced.groupBy(*keys)
-        .cogroup(asked.groupBy(*keys))
-        .applyInArrow(_rescore(k), "query_id long, vec_id long, score double")
-    )
+        every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        sliced = (
+            celled.join(load, "cell")
+            .withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")))
+            .withColumn("block", every_one(F.col("blocks")))
+            .select("cell", "slice", "block", "vec_id", "vector")
+        )
+        asked = (
+            visits.join(load, "cell")
+            .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+            .withColumn("slice", every_one(F.col("slices")))
+            .join(
+                queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")),
+                "query_id",
+            )
+            .select("cell", "slice", "block", "query_id", "query", "floor")
+        )
+        keys = ["cell", "slice", "block"]
+        return (
+            sliced.groupBy(*keys)
+            .cogroup(asked.groupBy(*keys))
+            .applyInArrow(_rescore(k), "query_id long, vec_id long, score double")
+        )
+
+    found = stage_and_release(answers(visits), "answers")
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short = stage_and_release(visits.join(enough, "query_id", "left_anti"), "short")
+    if not short.isEmpty():
+        again = answers(short.withColumn("floor", F.lit(float("-inf"))))
+        found = found.join(enough, "query_id", "left_semi").unionByName(again)
     return V.best(found, k)

@@ -36,6 +36,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,8 @@ _INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
 _EDGES = "\"'.,;:?)]}»”’“«([{"
 # Of these some are listed as letters, too; tokens are also tried with them.
 _MARKS = "(!"
+_SIGNS_AT_EDGES = frozenset(_MARKS)
+_SIGN_LETTERS = frozenset(c for c in LOOKALIKES if c.isalpha())
 _OTHER_EDGES = _EDGES.replace("(", "")
 
 # Channel costs, as log probabilities.
@@ -186,6 +189,36 @@ def gram_table(words: list[str], weights: np.ndarray) -> np.ndarray:
     return table
 
 
+def seen_places(seen: str) -> Iterator[tuple[str, bool, bool]]:
+    """Each sign, whether it repeats the one before, and whether it may be a mark at an edge."""
+    first = last = -1
+    if not _SIGNS_AT_EDGES.isdisjoint(seen):
+        letters = [i for i, c in enumerate(seen) if c.isalpha()] or [0]
+        first, last = letters[0], letters[-1]
+    before = ""
+    for i, c in enumerate(seen):
+        mark = c in _SIGNS_AT_EDGES and (c == "(" and i < first or i > last)
+        yield c, c == before, mark
+        before = c
+
+
+@cache
+def options(c: str, repeated: bool, mark: bool) -> list[tuple[str, float]]:
+    """The texts that a sign may stand for, with channel costs."""
+    if c.isspace():
+        return [(" ", KEEP_GAP), ("", DROP_GAP)]
+    if c.isalpha() and c not in LOOKALIKES:
+        return [(c, KEEP_REPEAT), ("", DROP_REPEAT)] if repeated else [(c, KEEP)]
+    found = [(x, SWAP) for x in LOOKALIKES.get(c, "")]
+    if repeated:
+        found.append(("", DROP_REPEAT))
+    if c in SEPARATORS or mark:
+        found.append(("", DROP_GAP))
+    if c in SEPARATORS or not found:
+        found.append((" ", KEEP_GAP))
+    return found
+
+
 @dataclass
 class Restorer:
     """Restores obfuscated spots of texts.
@@ -201,40 +234,22 @@ class Restorer:
         self.memo: dict[str, float] = {}
         self.known: dict[str, str] = {}
         self.letters = 0  # of the spots in known
+        # A word that begins otherwise can have none of the heads.
+        self.beginnings = {h[:n] for h in self.heads or () for n in range(PREFIXES.start)}
 
     def lattice(self, seen: str) -> list[list[tuple[str, float]]]:
         """For each place the texts it may stand for, with channel costs."""
-        places: list[list[tuple[str, float]]] = []
-        run = 0
-        letters = [i for i, c in enumerate(seen) if c.isalpha()] or [0]
-        for i, c in enumerate(seen):
-            run = run + 1 if i and c == seen[i - 1] else 0
-            if c.isspace():
-                places.append([(" ", KEEP_GAP), ("", DROP_GAP)])
-            elif c.isalpha() and c not in LOOKALIKES:
-                options = [(c, KEEP if run == 0 else KEEP_REPEAT)]
-                if run:
-                    options.append(("", DROP_REPEAT))
-                places.append(options)
-            else:
-                options = [(x, SWAP) for x in LOOKALIKES.get(c, "")]
-                if run:
-                    options.append(("", DROP_REPEAT))
-                mark = c == "(" and i < letters[0] or c in _MARKS and i > letters[-1]
-                if c in SEPARATORS or mark:
-                    options.append(("", DROP_GAP))
-                if c in SEPARATORS or not options:
-                    options.append((" ", KEEP_GAP))
-                places.append(options)
-        return places
+        return [options(*place) for place in seen_places(seen)]
 
     def reaches(self, seen: str) -> bool:
         """Whether any reading of a spot, likely or not, has a word with one of the heads."""
-        begun: set[str | None] = {""}  # words so far; None for one that is longer than a head
-        for options in self.lattice(seen):
+        if seen.isascii() and seen.isalpha():
+            return self.reaches_plainly(seen)
+        begun: set[str | None] = {""}  # words so far; None for one that has no head
+        for place in seen_places(seen):
             after: set[str | None] = set()
             for word in begun:
-                for letter, _ in options:
+                for letter, _ in options(*place):
                     if letter == " ":
                         if word in self.heads:
                             return True
@@ -242,7 +257,8 @@ class Restorer:
                     elif not letter or word is None:
                         after.add(word)
                     elif len(word) + 1 < PREFIXES.start:
-                        after.add(word + letter)
+                        begins = word + letter in self.beginnings
+                        after.add(word + letter if begins else None)
                     elif word + letter in self.heads:
                         return True
                     else:
@@ -250,6 +266,23 @@ class Restorer:
             begun = after
         return not begun.isdisjoint(self.heads)
 
+    def reaches_plainly(self, seen: str) -> bool:
+        """``reaches`` of letters alone: one word, in which repeated letters may go."""
+        begun, last = {""}, ""
+        for letter in seen:
+            after = set(begun) if letter == last else set()
+            for word in begun:
+                word += letter
+                if len(word) < PREFIXES.start:
+                    if word in self.beginnings:
+                        after.add(word)
+                elif word in self.heads:
+                    return True
+            if not after:
+                return False
+            begun, last = after, letter
+        return not begun.isdisjoint(self.heads)
+
     def decode(self, seen: str) -> str:
         """Viterbi: the best text, by the last ORDER - 1 letters as the state."""
         start = " " * (ORDER - 1)
@@ -305,6 +338,20 @@ class Restorer:
         """Whether the restored spot could tell more than the words found as they stand."""
         return not found or self.heads is None or self.reaches(seen)
 
+    def weightless(self, token: str) -> bool:
+        """Whether a token is surely one word that, however read, has none of the heads.
+
+        Letters without a repeat among the first ones begin alike in every reading.
+        """
+        core = token.strip(_EDGES).rstrip("!" + _EDGES)
+        head = core[: PREFIXES.start]
+        if len(head) < PREFIXES.start or head in self.heads:
+            return False
+        a, b, c, d = head
+        if not a != b != c != d or not core.isalpha() or not _SIGN_LETTERS.isdisjoint(head):
+            return False
+        return len(core) == len(token) or len(core) == len(token.strip(_OTHER_EDGES))
+
     def words(self, token: str) -> list[str]:
         """Words of a token in lower case, with what an odd token may stand for."""
         core = token.strip(_EDGES).rstrip("!" + _EDGES)
@@ -365,6 +412,7 @@ class WordScorer:
         self.heads = {f[: PREFIXES.start] for f in weights}
         self.kept: dict[str, float] = {}
         self.tokens: dict[str, float] = {}
+        self.weightless: set[str] = set()  # tokens of the weight 0
         self.strong: dict[str, dict[str, float]] = {}
 
     def weight(self, word: str) -> float:
@@ -383,11 +431,19 @@ class WordScorer:
         """Largest weight of a token's words; suspicious words are kept by token."""
         found = self.tokens.get(token)
         if found is None:
-            if len(self.tokens) > KEPT_WORDS:
+            if len(self.tokens) + len(self.weightless) > KEPT_WORDS:
                 self.tokens.clear()
+                self.weightless.clear()
                 self.strong.clear()
+            if restorer.weightless(token):
+                self.weightless.add(token)
+                return 0.0
             words = restorer.words(token)
-            found = self.tokens[token] = max(map(self.weight, words), default=-1.0)
+            found = max(map(self.weight, words), default=-1.0)
+            if found == 0.0:
+                self.weightless.add(token)
+                return 0.0
+            self.tokens[token] = found
             if found >= 0.5:
                 weights = {w: self.weight(w) for w in words}
                 self.strong[token] = {w: x for w, x in weights.items() if x >= 0.5}
@@ -396,8 +452,9 @@ class WordScorer:
     def score(self, tokens: set[str], restorer: Restorer) -> float:
         get, make = self.tokens.get, self.token
         marks = {}
-        highest = -1.0
-        for token in tokens:
+        rest = tokens - self.weightless
+        highest = -1.0 if len(rest) == len(tokens) else 0.0
+        for token in rest:
             weight = get(token)
             if weight is None:
                 weight = make(token, restorer)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shopmetrics.llm import ball_tree, multi_index
@@ -112,3 +113,39 @@ def test_one_component(spark):
     vectors = np.arange(50.0)[:, None] + 1
     got = as_dict(nearest(table(spark, vectors), every=10, k=2))
     assert got[0] == [(49, 50.0), (48, 49.0)]
+
+
+def test_answers_grow_with_the_queries(spark, monkeypatch):
+    """Cells answer from a floor up: far fewer rows than k for each cell visited."""
+    staged = {}
+
+    def stage(df, name, real=multi_index.stage_and_release):
+        staged[name] = real(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(multi_index, "stage_and_release", stage)
+    vectors = data(8000, 0)
+    got = as_dict(nearest(table(spark, vectors), every=40, k=20))
+    visits, answers = staged["visits"].count(), staged["answers"].count()
+    assert len(got) == 200 and all(len(found) == 20 for found in got.values())
+    assert answers < 200 * 20 * 2 * multi_index.SPARE < visits * 20
+
+
+def test_queries_below_their_floor_are_asked_again(spark, monkeypatch):
+    """Too high a floor changes no result."""
+    vectors = data(2000, 300)
+    want = as_dict(nearest(table(spark, vectors), every=100, k=20))
+    real = multi_index._visits
+
+    def high(*args):
+        run = real(*args)
+
+        def raised(batches):
+            for batch in run(batches):
+                floor = batch.column(2).to_numpy() + 1e6 * (batch.column(0).to_numpy() % 200 == 0)
+                yield batch.set_column(2, "floor", pa.array(floor))
+
+        return raised
+
+    monkeypatch.setattr(multi_index, "_visits", high)
+    assert as_dict(nearest(table(spark, vectors), every=100, k=20)) == want
