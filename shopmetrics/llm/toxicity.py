@@ -343,6 +343,8 @@ class Restorer:
 
         Letters without a repeat among the first ones begin alike in every reading.
         """
+        if self.heads is None:
+            return False
         core = token.strip(_EDGES).rstrip("!" + _EDGES)
         head = core[: PREFIXES.start]
         if len(head) < PREFIXES.start or head in self.heads:

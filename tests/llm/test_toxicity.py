@@ -199,3 +199,33 @@ def test_unread_spots_change_no_score(short_words):
     for token in tokens:
         assert quick.score({token}, pruned) == plain.score({token}, every), token
     assert len(pruned.known) < len(every.known) / 2
+
+
+def test_readings_without_a_head_are_left_out_early():
+    """What is ruled out early is what the whole lattice rules out, and weighs nothing."""
+    model = X.CharacterModel(np.ones((X.ORDER, 1 << X.TABLE_BITS)))
+    scorer = X.WordScorer({"stupid": 0.9, "fool-": 0.4, "abc": 0.6, "so": 0.3}, 0.1)
+    restorer = X.Restorer(model, scorer.heads)
+
+    def readings(seen):
+        found = {""}
+        for options in restorer.lattice(seen):
+            found = {r + letter for r in found for letter, _ in options}
+        return found
+
+    draw = random.Random(5)
+    early = 0
+    for _ in range(2000):
+        word = "".join(draw.choice("abcstupidofl1é") for _ in range(draw.randint(1, 6)))
+        if draw.random() < 0.5:
+            word = "".join(c * draw.choice([1, 1, 2]) for c in draw.choice(["stupid", "fool", "abc"]))
+        heads = {w[: X.PREFIXES.start] for r in readings(word) for w in r.split(" ")}
+        assert restorer.reaches(word) == (not heads.isdisjoint(scorer.heads)), word
+        token = draw.choice(["", "(", '"']) + word + draw.choice(["", "!", ",", ")", "(", "$"])
+        if restorer.weightless(token):
+            early += 1
+            assert {scorer.weight(w) for w in restorer.words(token)} == {0.0}, token
+    assert early > 100
+    tokens = {"plain,", "harmless", "été"}
+    assert scorer.score(tokens, restorer) == 0.0 == scorer.score(tokens, restorer)
+    assert scorer.weightless >= {"plain,", "harmless"} and not scorer.tokens
