@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopmetrics.llm import words as W
+from shopmetrics.llm.lean import lean
 from shopmetrics.llm.sorted_runs import Columns, new_run, over_sorted
 from shopmetrics.llm.staged import stage_and_release
 
@@ -199,7 +200,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("text_hash"), "text"
     ).where("doc is not null and text is not null")
-    anchors = texts.mapInArrow(_anchors(min_words), ANCHOR_SCHEMA)
+    anchors = texts.mapInArrow(lean(_anchors(min_words)), ANCHOR_SCHEMA)
     matched = stage_and_release(
         over_sorted(
             anchors,
@@ -220,7 +221,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
         texts.dropDuplicates(["doc", "text_hash"])
         .join(asked, ["doc", "text_hash"])
         .select("doc", "text_hash", "text", "spans")
-        .mapInArrow(_windows(min_words), WINDOW_SCHEMA),
+        .mapInArrow(lean(_windows(min_words)), WINDOW_SCHEMA),
         "windows",
     )
     first = windows.groupBy("one", "two").agg(F.min("doc").alias("first_doc"))
@@ -303,4 +304,4 @@ def substring_dedup(docs: DataFrame, min_words: int = 13) -> DataFrame:
         ]
     )
     text_at = [c.lower() for c in kept.columns].index("text")
-    return joined.mapInArrow(_cut(min_words, list(kept.columns), text_at), schema)
+    return joined.mapInArrow(lean(_cut(min_words, list(kept.columns), text_at)), schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 BYTE_BASE = 0x9E3779B97F4A7C15 | 3
 RUN_BASES = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F | 3)
 # Texts are hashed in slices of about this many bytes; a longer text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _POWERS: dict[int, np.ndarray] = {}
 
