@@ -111,7 +111,8 @@ def numbered_records(spark: SparkSession, path: str) -> DataFrame:
     number = F.col("records_before") + F.when(
         F.col("open_before") == 1, F.col("record_open")
     ).otherwise(F.col("record_closed"))
-    numbered = lines.join(_blocks(lines), _PLACE).withColumn("record", number)
+    # One row for each block of a file: sent to every task, so that lines stay where they are.
+    numbered = lines.join(F.broadcast(_blocks(lines)), _PLACE).withColumn("record", number)
     inside = (F.col("opened") + F.col("open_before")) % 2 == 1
     alone = ~inside & (_quotes() % 2 == 0)
     columns = [*_PLACE, "line", "record"]
@@ -126,8 +127,11 @@ def numbered_records(spark: SparkSession, path: str) -> DataFrame:
         "record",
         F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"),
     )
+    text = F.when(
+        F.contains("value", F.lit("\r")), F.regexp_replace("value", "\r$", "")
+    ).otherwise(F.col("value"))
     return whole.select(*columns, "value").unionByName(joined).select(
-        *columns, F.regexp_replace("value", "\r$", "").alias("text")
+        *columns, text.alias("text")
     )
 
 
@@ -136,7 +140,7 @@ def _quotes() -> Column:
 
 
 def _blank() -> Column:
-    return F.regexp_replace("value", "[ \r]+", "") == ""
+    return F.btrim("value", F.lit(" \r")) == ""
 
 
 def read_records(spark: SparkSession, path: str, arrival: str) -> DataFrame:

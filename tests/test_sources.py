@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shopmetrics.operators.clean import dedup_raw
 from shopmetrics.operators.normalize import normalize_marketplace, normalize_primary
 from shopmetrics.plans.pipelines import build_products, build_scored
-from shopmetrics.sources import listings, staging, tables
+from shopmetrics.sources import csv_records, listings, staging, tables
 
 
 def landed(tmp_path, page, data):
@@ -106,6 +106,21 @@ def test_windows_line_ends_and_open_quotes(spark, tmp_path):
     assert rows[0] == ("1", "a") and len(rows) == 2 and rows[1][0] == "2"
 
 
+def test_lines_stay_where_they_are(spark, tmp_path):
+    """The table of blocks goes to the lines, however large these are."""
+    (tmp_path / "a.csv").write_text('id,name\n1,"a\nb"\n2,c\n')
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        records = csv_records.numbered_records(spark, str(tmp_path / "a.csv"))
+        plan = records._jdf.queryExecution().sparkPlan().toString()
+        assert records.count() == 3
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_folder_of_files(spark, tmp_path):
     """Each file has a header; rows keep the order of files and lines."""
     for i in range(3):
