@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import files
+from shopmetrics.llm.lean import lean
 from shopmetrics.llm.ordered import shard_bounds, shard_of
 from shopmetrics.llm.staged import stage_and_release
 from shopmetrics.llm.tokens import Encoder
@@ -248,7 +249,7 @@ def write_tokens(
         .sortWithinPartitions("shard", "doc_id", "text")
     )
     written = stage_and_release(
-        dealt.mapInArrow(_write(path, end_id, folder), MANIFEST_SCHEMA), "token-manifest"
+        dealt.mapInArrow(lean(_write(path, end_id, folder)), MANIFEST_SCHEMA), "token-manifest"
     )
     # One row per file.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -294,7 +295,7 @@ def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
 
     listed = manifest.select("name", "sha256", "first_token")
     spread = _dealt(stage_and_release(listed, "token-files"))
-    return spread.mapInArrow(run, DOCUMENT_SCHEMA)
+    return spread.mapInArrow(lean(run), DOCUMENT_SCHEMA)
 
 
 def find_token(folder: str, manifest: DataFrame, token: int) -> DataFrame:
