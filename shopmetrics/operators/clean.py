@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopmetrics import fixed_values as V
 from shopmetrics.functions.mathx import clip
@@ -14,12 +15,15 @@ from shopmetrics.schema import (
     ARRIVAL,
     OUTLIER_COLUMN,
     PRODUCT_COLUMNS,
+    SOURCE_RANK,
     order_columns,
 )
 
 REQUIRED = ["product_id", "product_name", "price"]
 # Tasks that the copies of one key are dealt to before the first of them is found.
 DEALT = 8
+# Types whose smallest value Spark keeps in a hash table, without sorting rows.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _arrival_order(df: DataFrame) -> list[str]:
@@ -33,18 +37,67 @@ def _arrival_order(df: DataFrame) -> list[str]:
     return stated + rest
 
 
+def _lead(df: DataFrame, name: str) -> Column | None:
+    """The field that decides first in an order column, if it has a fixed width."""
+    at, kind = F.col(name), df.schema[name].dataType
+    while isinstance(kind, T.StructType) and kind.fields:
+        at, kind = at.getField(kind.fields[0].name), kind.fields[0].dataType
+    return at if isinstance(kind, FIXED_WIDTH) else None
+
+
+def _contenders(df: DataFrame, key: str) -> DataFrame:
+    """Rows that may be the first of their key: no row of their source leads theirs.
+
+    The smallest leading field of each key (an order number, say) is a hash
+    aggregate of two or three plain columns: it needs no sort, holds one entry per key
+    and not per row, and copies that lie together are one row before the shuffle.
+    The rows are matched with it by ``exists``, a condition that Spark pushes below the
+    joins and expressions that make rows wide, as it would not push a join; its
+    smaller side is hashed, so rows aren't sorted either. A row's source and the first arrival column it has (``_slot``) are
+    part of the group, so that only one leading field is compared. ``df`` is read
+    twice; its arrival must be stated by the rows and not drawn while they are read.
+    """
+    stated = order_columns(df)
+    arrivals = [name for name in stated if name != SOURCE_RANK]
+    leads = [_lead(df, name) for name in arrivals]
+    if not any(lead is not None for lead in leads):
+        return df
+    slot = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(arrivals)])
+    marked = df.withColumn("_slot", slot)
+    marks, least = [], []
+    for i, lead in enumerate(leads):
+        if lead is None:
+            continue
+        mark, own = f"_lead{i}", F.col("_slot") == i
+        marked = marked.withColumn(mark, F.when(own, lead))
+        # A field of a struct sorts nulls first, a whole order column last.
+        none = F.max(own & F.col(mark).isNull())
+        least.append(F.when(none, F.lit(None)).otherwise(F.min(mark)).alias(f"_first{mark}"))
+        marks.append(mark)
+    by = [key, *[name for name in stated if name == SOURCE_RANK], "_slot"]
+    first = marked.groupBy(*[F.col(name).alias(f"_first{name}") for name in by]).agg(*least)
+    # Names that the aggregate lacks: it would take others for its own columns.
+    own = marked.withColumns({f"_own{name}": F.col(name) for name in [*by, *marks]})
+    for name in [*by, *marks]:
+        first = first.where(F.col(f"_first{name}").eqNullSafe(F.col(f"_own{name}").outer()))
+    return own.where(first.hint("shuffle_hash").exists()).select(*df.columns)
+
+
 def keep_first(df: DataFrame, key: str) -> DataFrame:
     """First arrived row per key.
 
-    Rows are dealt by key before they are sorted: a task sorts one shuffle partition,
-    however large the pieces are that the input is read in, and nearly all copies go
-    there. ``DEALT`` tasks share a key, so one with very many copies isn't left to a
-    single task; at most ``DEALT`` rows per key go through the second shuffle.
+    Where rows state their arrival, those that another one of the key leads are left
+    out before any row is sorted (``_contenders``). The rest is dealt by key before it
+    is sorted: a task sorts one shuffle partition, however large the pieces are that
+    the input is read in. ``DEALT`` tasks share a key, so one with very many copies
+    isn't left to a single task; at most ``DEALT`` rows per key go through the second
+    shuffle.
     """
     names = _arrival_order(df)
     order = [F.col(name).asc_nulls_last() for name in names]
     share = F.pmod(F.xxhash64(*names), F.lit(DEALT))
-    return best_per_key(df.repartition(F.col(key), share), [key], order, 1)
+    dealt = _contenders(df, key).repartition(F.col(key), share)
+    return best_per_key(dealt, [key], order, 1)
 
 
 def dedup_raw(df: DataFrame, key: str = "id") -> DataFrame:
@@ -65,8 +118,17 @@ def dedup_counts(df: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
+def _without_missing(df: DataFrame, names: list[str]) -> DataFrame:
+    """``dropna`` as one plain condition a column, which Spark can push to the scan each."""
+    for name in names:
+        df = df.filter(F.col(name).isNotNull())
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            df = df.filter(~F.isnan(name))
+    return df
+
+
 def drop_incomplete(df: DataFrame) -> DataFrame:
-    return df.dropna("any", subset=REQUIRED)
+    return _without_missing(df, REQUIRED)
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -154,7 +216,7 @@ def clean_unflagged(df: DataFrame) -> DataFrame:
     if "product_id" in df.columns:
         unique = dedup_products(fill_defaults(drop_incomplete(df)))
     elif {"id", "name"} <= set(df.columns):
-        unique = normalize_primary(keep_first(df.dropna("any", subset=["id", "name"]), "id"))
+        unique = normalize_primary(keep_first(_without_missing(df, ["id", "name"]), "id"))
     else:
         unique = dedup_products(fill_defaults(drop_incomplete(normalize_primary(df))))
     return positive_price(clip_ranges(unique)).select(*PRODUCT_COLUMNS)

@@ -20,10 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw listing per line item."""
+    """One raw listing per line item.
+
+    The id is made from the line item alone: Spark pushes a semi join on it (the first
+    copies of products, for one) below the joins that add texts.
+    """
     line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate",
+        F.col("l_partkey").cast("string").alias("id"),
     )
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -40,7 +45,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         line.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
-            F.col("l_partkey").cast("string").alias("id"),
+            "id",
             F.when(order % 101 == 0, null_text)
             .otherwise(F.concat_ws(" ", "p_name", "p_brand"))
             .alias("name"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shopmetrics.operators import clean
 from shopmetrics.operators.normalize import normalize_primary
+from shopmetrics.operators.prefix_topk import best_per_key
 
 
 def raw(spark, rows):
@@ -86,3 +87,50 @@ def test_cleaning_again_changes_nothing(spark):
 
 def test_empty_table(products):
     assert clean.flag_price_outliers(products([{}]).limit(0)).count() == 0
+
+
+def test_later_copies_are_left_out_below_joins(spark):
+    """A narrow hash aggregate finds the first copies, so that only they are widened and sorted."""
+    line = spark.createDataFrame([("1", i, 7) for i in range(5, 0, -1)] + [("2", 3, 7)], "id string, n int, seller int")
+    wide = line.join(spark.createDataFrame([(7, "s")], "key int, name string").hint("merge"), F.col("seller") == F.col("key"))
+    df = wide.select("id", F.concat("name", F.col("n").cast("string")).alias("name"), F.struct("n").alias("arrival"))
+    kept = clean.keep_first(df, "id")
+    assert sorted((r.id, r.name) for r in kept.collect()) == [("1", "s1"), ("2", "s3")]
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("LeftSemi")
+
+
+@pytest.mark.parametrize(
+    "schema, rows, first",
+    [
+        ("arrival int", [(None,), (5,), (2,), (2,)], 2),
+        ("arrival int", [(None,), (None,)], 0),
+        ("arrival double", [(float("nan"),), (3.0,), (float("inf"),)], 1),
+        ("arrival struct<a: int, b: int>", [(None,), ((1, 1),), ((None, 2),), ((None, 1),)], 3),
+        ("arrival struct<a: int, b: string>", [((2, "a"),), ((1, "c"),), ((1, "b"),)], 2),
+        ("arrival string", [("b",), ("a",)], 1),
+        ("source_rank int, arrival_0 int, arrival_1 string", [(1, None, "a"), (0, 7, None), (0, 6, None)], 2),
+        ("source_rank int, arrival_0 int, arrival_1 int", [(0, None, 1), (0, 5, 9), (0, 6, 0)], 1),
+        ("source_rank int, arrival_1 int", [(1, 3), (1, 2), (0, None)], 2),
+    ],
+)
+def test_first_copy_by_any_arrival(spark, schema, rows, first):
+    """The narrow pass never leaves out the copy that the whole order puts first, null keys included."""
+    df = spark.createDataFrame(
+        [(key, i, *row) for key in ("x", None) for i, row in enumerate(rows)], f"id string, place int, {schema}"
+    )
+    names = clean._arrival_order(df)
+    order = [F.col(n).asc_nulls_last() for n in names]
+    plain = best_per_key(df, ["id"], order, 1)
+    kept = clean.keep_first(df, "id")
+
+    def shown(found):
+        return sorted((str(r.id), str([r[n] for n in names])) for r in found.collect())
+
+    assert shown(kept) == shown(plain)
+    assert {r.place for r in kept.collect()} <= {i for i, row in enumerate(rows) if str(row) == str(rows[first])}
+
+
+def test_missing_values_are_dropped_like_dropna(products):
+    df = products([{}, {"price": float("nan")}, {"price": None}, {"product_name": None}, {"product_id": None}])
+    assert [tuple(r) for r in clean.drop_incomplete(df).collect()] == [tuple(r) for r in df.dropna("any", subset=clean.REQUIRED).collect()]
