@@ -34,7 +34,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -224,47 +224,55 @@ class Restorer:
     """Restores obfuscated spots of texts.
 
     With ``heads``, a token of some word isn't decoded if no reading of it has a word
-    that begins so (or is one, if shorter): such words weigh nothing in a score.
+    that begins so (or is one, if shorter): such words weigh nothing in a score. With
+    ``features`` it isn't either if no reading has a word with one of these, whole or as
+    a beginning (marked by a dash).
     """
 
     model: CharacterModel
     heads: set[str] | None = None
+    features: Collection[str] | None = None
 
     def __post_init__(self) -> None:
         self.memo: dict[str, float] = {}
         self.known: dict[str, str] = {}
         self.letters = 0  # of the spots in known
-        # A word that begins otherwise can have none of the heads.
-        self.beginnings = {h[:n] for h in self.heads or () for n in range(PREFIXES.start)}
+        # What a word has to begin with, or to be, to weigh anything.
+        if self.features is None:
+            self.ends = {h for h in self.heads or () if len(h) < PREFIXES.start}
+            self.stems = set(self.heads or ()) - self.ends
+        else:
+            self.ends = {f for f in self.features if not f.endswith("-")}
+            self.stems = {f[:-1] for f in self.features if f.endswith("-")}
+        # A word that begins otherwise can have none of them.
+        self.beginnings = {f[:n] for f in self.ends | self.stems for n in range(len(f) + 1)}
 
     def lattice(self, seen: str) -> list[list[tuple[str, float]]]:
         """For each place the texts it may stand for, with channel costs."""
         return [options(*place) for place in seen_places(seen)]
 
     def reaches(self, seen: str) -> bool:
-        """Whether any reading of a spot, likely or not, has a word with one of the heads."""
+        """Whether any reading of a spot, likely or not, has a word with a feature (or head)."""
         if seen.isascii() and seen.isalpha():
             return self.reaches_plainly(seen)
-        begun: set[str | None] = {""}  # words so far; None for one that has no head
+        begun: set[str | None] = {""}  # words so far; None for one that has no feature
         for place in seen_places(seen):
             after: set[str | None] = set()
             for word in begun:
                 for letter, _ in options(*place):
                     if letter == " ":
-                        if word in self.heads:
+                        if word in self.ends:
                             return True
                         after.add("")
                     elif not letter or word is None:
                         after.add(word)
-                    elif len(word) + 1 < PREFIXES.start:
-                        begins = word + letter in self.beginnings
-                        after.add(word + letter if begins else None)
-                    elif word + letter in self.heads:
+                    elif word + letter in self.stems:
                         return True
                     else:
-                        after.add(None)
+                        begins = word + letter in self.beginnings
+                        after.add(word + letter if begins else None)
             begun = after
-        return not begun.isdisjoint(self.heads)
+        return not begun.isdisjoint(self.ends)
 
     def reaches_plainly(self, seen: str) -> bool:
         """``reaches`` of letters alone: one word, in which repeated letters may go."""
@@ -273,15 +281,14 @@ class Restorer:
             after = set(begun) if letter == last else set()
             for word in begun:
                 word += letter
-                if len(word) < PREFIXES.start:
-                    if word in self.beginnings:
-                        after.add(word)
-                elif word in self.heads:
+                if word in self.stems:
                     return True
+                if word in self.beginnings:
+                    after.add(word)
             if not after:
                 return False
             begun, last = after, letter
-        return not begun.isdisjoint(self.heads)
+        return not begun.isdisjoint(self.ends)
 
     def decode(self, seen: str) -> str:
         """Viterbi: the best text, by the last ORDER - 1 letters as the state."""
@@ -660,7 +667,7 @@ def toxicity(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScorer(*scorer.value)
-        restorer = Restorer(model.value, words.heads)
+        restorer = Restorer(model.value, words.heads, words.weights)
         for batch in batches:
             texts = batch.column(text_at)
             scores = [

@@ -229,3 +229,19 @@ def test_readings_without_a_head_are_left_out_early():
     tokens = {"plain,", "harmless", "été"}
     assert scorer.score(tokens, restorer) == 0.0 == scorer.score(tokens, restorer)
     assert scorer.weightless >= {"plain,", "harmless"} and not scorer.tokens
+
+
+def test_spots_are_decoded_for_whole_features_only(short_words):
+    """Equal scores, though a spot that merely begins like a feature isn't decoded."""
+    rng = random.Random(4)
+    weights = {"ass": 0.9, "dumb-": 0.7, "cunt": 0.6, "idiot": 0.8, "shit-": 0.75, "letter": 0.3, "stupid-": 0.9}
+    tokens = ["".join(rng.choice("aassdumbcntiilleetrrkh15$@!*.-/(") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    tokens += [head + "".join(rng.choice("dtiiop1*$.s") for _ in range(rng.randint(0, 6))) for head in ("stu", "$tu", "lett", "id1", "cuu") for _ in range(200)]
+    tokens += ["$tupid", "stuupiidly", "1ett3r", "1ett3rs", "c.u.n.t", "cuntt", "a$$", "iddiott", "idiotts", "k11l/a55", "$$$"]
+    by_heads, exact = X.WordScorer(weights, 0.1), X.WordScorer(weights, 0.1)
+    wide = X.Restorer(short_words.model, by_heads.heads)
+    narrow = X.Restorer(short_words.model, exact.heads, exact.weights)
+    for token in tokens:
+        assert exact.score({token}, narrow) == by_heads.score({token}, wide), token
+    assert narrow.reaches("1ett3r") and not narrow.reaches("1ett3rs") and wide.reaches("1ett3rs")
+    assert len(narrow.known) < len(wide.known)
