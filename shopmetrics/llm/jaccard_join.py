@@ -17,9 +17,10 @@ Verified links give components. Signatures that still hold several components
 are met again, now with a set drawn by a hash of the signature: a large group of
 near copies thus meets many of its sets and grows together, still with as many
 candidates as rows. What signatures are then left with several components are
-searched for further links, between sets of different components whose 256-bit
-parity sketches (a lower bound of the difference) do not exclude a link. All
-candidates are verified on the full sets.
+searched for further links, between sets of different components whose 512-bit
+parity sketches (a lower bound of the difference) do not exclude a link. Two sets
+often share many signatures; all but a few of these leave their pair to an earlier
+one. All candidates are verified on the full sets.
 
 Defined cases: a null text, an empty one or one without words has an empty set
 and is linked with nothing. With fewer words than a shingle, the whole
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopmetrics.llm import words as W
@@ -50,7 +51,9 @@ SLACK = 1
 INNER = 2
 # Widths of a band, as a power of the inverse similarity.
 BAND_POWER = 2
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
+# Signatures before its own that a row knows of its set, to tell pairs met in them.
+EARLIER = 16
 # A first-level part more than the pigeonhole principle asks for to so many of them.
 SPARE = 10
 
@@ -384,12 +387,23 @@ def _side(near: DataFrame, name: str) -> DataFrame:
     return near.select("sign", *(F.col(c).alias(f"{name}_{c}") for c in near.columns if c != "sign"))
 
 
-def _linked_pairs(left: DataFrame, right: DataFrame, num: int, den: int, *also) -> DataFrame:
+def _with_earlier(near: DataFrame) -> DataFrame:
+    """Rows with the ``EARLIER`` signatures of their set that come right before theirs."""
+    before = Window.partitionBy("set_id").orderBy("sign").rowsBetween(-EARLIER, -1)
+    return near.withColumn("earlier", F.collect_list("sign").over(before))
+
+
+def _unmet():
+    """False only where a pair meets in an earlier signature, too; never in its first one."""
+    return ~F.arrays_overlap("a_earlier", "b_earlier")
+
+
+def _met_pairs(left: DataFrame, right: DataFrame, num: int, den: int, *also) -> DataFrame:
     """Pairs of a signature from different components that sketches don't exclude."""
     pairs = left.join(right, "sign").where(F.col("a_root") != F.col("b_root"))
-    for condition in (*also, _may_link(num, den)):
+    for condition in (_may_link(num, den), *also):
         pairs = pairs.where(condition)
-    return pairs.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b")).distinct()
+    return pairs.select(F.col("a_set_id").alias("a"), F.col("b_set_id").alias("b"))
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -441,14 +455,15 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100)
     )
     links = stage_and_release(_verified(pairs, met, grams, num, den), "links")
     near = _open_rows(shared, met.drop("doc_id", "wide"), components(links))
-    further = _linked_pairs(_side(near, "a"), _side(_hashed_pivots(near), "b"), num, den)
-    found = stage_and_release(_verified(further, met, grams, num, den), "links")
+    further = _met_pairs(_side(near, "a"), _side(_hashed_pivots(near), "b"), num, den)
+    found = stage_and_release(_verified(further.distinct(), met, grams, num, den), "links")
     links = stage_and_release(links.unionByName(found), "links")
     near = _open_rows(shared, met.drop("doc_id", "wide"), components(links))
-    further = _linked_pairs(
-        _side(near, "a"), _side(near, "b"), num, den, F.col("a_set_id") < F.col("b_set_id")
-    )
-    links = links.unionByName(stage_and_release(_verified(further, met, grams, num, den), "links"))
+    near = stage_and_release(_with_earlier(near), "open-signatures")
+    once = (F.col("a_set_id") < F.col("b_set_id"), _unmet())
+    further = _met_pairs(_side(near, "a"), _side(near, "b"), num, den, *once)
+    found = stage_and_release(_verified(further.distinct(), met, grams, num, den), "links")
+    links = links.unionByName(found)
     roots = components(links).withColumnRenamed("id", "set_id")
     rooted = profiles.select("doc_id", "n_shingles", "set_id").join(roots, "set_id", "left")
     rooted = rooted.withColumn(

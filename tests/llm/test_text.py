@@ -126,6 +126,25 @@ def test_jaccard_join_null_id_bridges(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1)]
 
 
+def test_jaccard_join_pairs_of_many_signatures(spark):
+    """A pair that meets in very many signatures is searched in few of them, and in one at least."""
+    rng = random.Random(6)
+    words = [f"s{j}" for j in range(J.SKETCH_WORDS)]
+    held = {i: rng.sample(range(-300, 300), rng.choice([1, 5, 200, 300])) for i in range(60)}
+    rows = [(s, i, i // 2, 400, *[7] * len(words)) for i in held for s in held[i]]
+    schema = ", ".join(f"{c} long" for c in ["sign", "set_id", "root", "n_shingles", *words])
+    near = J._with_earlier(spark.createDataFrame(rows, schema).repartition(5))
+    once = (F.col("a_set_id") < F.col("b_set_id"), J._unmet())
+    found = J._met_pairs(J._side(near, "a"), J._side(near, "b"), 80, 100, *once)
+    got = [tuple(r) for r in found.collect()]
+    shared = {
+        (a, b): len(set(held[a]) & set(held[b]))
+        for a in held for b in held if a < b and a // 2 != b // 2
+    }
+    assert set(got) == {pair for pair, n in shared.items() if n}
+    assert len(got) < 2 * len(set(got)) < sum(shared.values()) / 10
+
+
 def test_signatures_meet():
     """Any two sets within the allowed difference share a signature."""
     import numpy as np
