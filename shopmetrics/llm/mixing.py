@@ -271,8 +271,12 @@ def _uses_of_documents(
         .withColumn("words", stop - start)
     )
     figures = targets.select("source_number", "source_size", "target")
+    # Documents without words lie in no block; they are dealt out by a key of their own.
+    no_block = -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    # Estimates take ``uses`` for small, as it comes from a row per source; it has one per block.
     return (
-        cut.join(uses, ["source_number", "block"], "left")
+        cut.withColumn("block", F.coalesce("block", no_block))
+        .join(uses.hint("merge"), ["source_number", "block"], "left")
         .withColumn("uses", F.coalesce("uses", F.lit(0)).cast("long"))
         .join(figures, "source_number")
     )

@@ -102,3 +102,22 @@ def test_native_plan(spark):
     for df in (M.mix(docs), M.mixed_documents(docs)):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_uses_of_blocks_stay_off_the_driver(spark):
+    """The table of blocks grows with the words: it is never broadcast, however small it looks."""
+    docs = spark.createDataFrame(rows_of(SPECS["plain"]), SCHEMA)
+    for df in (M.mix(docs), M.mixed_documents(docs)):
+        plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+        joins = [line for line in plan if "Join [source_number#" in line and "block#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_documents_without_words_are_dealt_out(spark):
+    """They share no join key, and each keeps its row."""
+    rows = [(i if i % 3 else None, "" if i % 2 else None, "s", "en", 0, 7, 8) for i in range(400)]
+    docs = spark.createDataFrame(rows + rows_of({"t": [200]}), SCHEMA)
+    used = M._uses_of_documents(M._sized(docs), (1,), 1.0, 3.0, 64, 1 << 16, 0).where("size = 0")
+    assert used.count() == 400 and used.where("uses = 0 and words = 0").count() == 400
+    assert used.select("block").distinct().count() > 100
+    assert M.mix(docs).count() == 401
