@@ -19,6 +19,8 @@ _NUMBER = (
 )
 _INFINITY = r"[+-]?(?:[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)"
 _NUMBER_TEXT = rf"(?U)^\s*({_NUMBER}|{_INFINITY})\s*$"
+# Most numbers look like this; the pattern above takes them as they are, but is slow.
+_PLAIN_NUMBER = r"^[0-9]+(?:\.[0-9]+)?\z"
 
 
 def column_type(df: DataFrame, name: str) -> T.DataType:
@@ -27,12 +29,12 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
 
 def _number_text(text: Column) -> Column:
     """Parse a number literal; anything else (``12d``, hex, words) is null."""
-    literal = F.regexp_extract(text, _NUMBER_TEXT, 1)
-    return F.translate(literal, "_", "").try_cast("double")
+    literal = F.translate(F.regexp_extract(text, _NUMBER_TEXT, 1), "_", "")
+    return F.when(text.rlike(_PLAIN_NUMBER), text).otherwise(literal).try_cast("double")
 
 
 def _finite_or(value: Column, default: Column) -> Column:
-    return F.coalesce(F.nanvl(value, default), default)
+    return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), default)
 
 
 def numeric_or(df: DataFrame, name: str, default: Column | float) -> Column:

@@ -120,3 +120,14 @@ def test_erfc(spark):
     df = column(spark, values, "double")
     for x, got in zip(values, results(df, erfc(F.col("c")))):
         assert got == pytest.approx(math.erfc(x), rel=2e-7)
+
+
+def test_plain_numbers_are_read_as_by_the_full_pattern(spark):
+    """Digits with a point skip the slow pattern; whatever else looks alike doesn't."""
+    texts = ["0", "007", "12.50", "1" * 400, "0.1", "12\n", "12\u0085", " 1", "1.", ".5", ".", "1.2.3",
+             "１２", "٣", "12f", "1 2", "-0", "1e5", "1_0", "_1", "", " ", None, "NaN", "12\r\n", "1\n2"]
+    df = column(spark, texts)
+    full = F.translate(F.regexp_extract("c", P._NUMBER_TEXT, 1), "_", "").try_cast("double")
+    assert results(df, P._number_text(F.col("c"))) == results(df, full)
+    plan = df.select(P._number_text(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_extract")

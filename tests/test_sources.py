@@ -220,3 +220,28 @@ def test_flow_from_products_to_scores(products):
 
 def test_staging_needs_a_shared_folder(spark):
     assert staging.new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_only_blocks_with_open_values_are_gathered(spark, tmp_path):
+    """Other blocks aren't numbered twice; one row a block tells which they are."""
+    lines = [f'{i},"n ""{i}"""' for i in range(60)]
+    lines[30] = '30,"n\n\n30"'
+    (tmp_path / "a.csv").write_text("id,name\n" + "\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("id,name\n" + "\n".join(f"{i},n" for i in range(60)) + "\n")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, ("120", "0")):
+        spark.conf.set(name, value)
+    try:
+        blocks = csv_records._blocks(csv_records._text(spark, str(tmp_path))).collect()
+        records = csv_records.numbered_records(spark, str(tmp_path))
+        found = {(r.file[-5:], r.record): r.text for r in records.collect()}
+        plan = records._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    broken = [b for b in blocks if b.spans or b.open_before]
+    assert len(blocks) == len({(b.file, b.block) for b in blocks}) > 8 and 1 <= len(broken) <= 3
+    assert all(b.file.endswith("a.csv") for b in broken)
+    assert len(found) == 122 and found["a.csv", 32] == '30,"n\n\n30"'
+    assert plan.count("LeftSemi") == 1
